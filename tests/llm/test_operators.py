@@ -1,0 +1,382 @@
+"""Operators without SQL against brute force, and all of them on awkward rows."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm import cases
+from tracewright.llm import decontamination, mixing, pii, quality, rules, secret_scan, simhash, suffix_tree, toxicity, urls
+from tracewright.llm import queries as registered
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def texts(spark):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+# PII
+
+
+def plain_spans(text):
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(x) <= 255 for x in v.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda v: 13 <= len(digits(v)) <= 19 and luhn(digits(v))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 9 <= len(digits(v)) <= 15),
+    ]
+    return [f"{k}:{m.start()}:{m.end()}" for k, pattern, ok in kinds for m in re.finditer(pattern, text) if ok(m.group())]
+
+
+HARD = [
+    "a@b.com_x@c.org a@@b.c a.b@c d@e-f.g.h. %+@x.y",
+    "1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1 1.2.3 999.1.2.3.4",
+    "4111-1111-1111-1111 4111 1111 1111 1112 12345678901234567890 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1",
+    "+1 (555) 123-4567. +123456789 +1 2 +49(0)30-123456. ++12345678901 +1234567890123456",
+    "é\U0001f600 x@y.zz ñ +12 345 678 901 \U0001f600 1.1.1.1",
+    "x@y.z " * 700,
+    "1" * 5000 + " " + "a" * 5000 + "@b.c",
+]
+
+
+def test_pii_base(spark):
+    rows = texts(spark) + [(10**6 + k, t) for k, t in enumerate(HARD)]
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc_id, text in rows:
+        want = plain_spans(text)
+        assert got[doc_id].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), text[:200]
+        assert got[doc_id].spans.split(",")[: len(want)] == want or not want
+        assert [got[doc_id][f"n_{k}"] for k in pii.KINDS] == [sum(s.startswith(k + ":") for s in want) for k in pii.KINDS]
+
+
+def test_pii_terms(spark):
+    """A nickname that stands only beside one address gives it away; a common word beside it does not."""
+    rng = random.Random(1)
+    noise = lambda: " ".join(rng.choice(["red", "green", "blue", "grey", "pink", "plain"]) for _ in range(30))
+    rows = [(k, f"{noise()} please write Zaphod ann@corp.org again {noise()}") for k in range(6)] + [(100 + k, f"{noise()} please again {noise()}") for k in range(60)]
+    rows += [(200, f"{noise()} zaphod said so {noise()}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms, _ = pii.disclosing(docs)
+    found = {r.term: r.ratio for r in terms.collect()}
+    assert set(found) == {"zaphod", "write"}
+    assert found["zaphod"] == pytest.approx(math.log(67 * 6 / (6 * 7)) / math.log(67 / 6))
+    out = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert "ann@corp.org" not in out[0] and "Zaphod" not in out[0] and "<email>" in out[0] and "<name>" in out[0]
+    assert out[100] == dict(rows)[100] and "zaphod" not in out[200]
+
+
+# SimHash
+
+
+def plain_print(text):
+    w = WORD.findall(text.translate(LOWER))
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    parent = {k: k for k in prints}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(prints, 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 3:
+            p, q = sorted((root(a), root(b)))
+            parent[q] = p
+    return {k: root(k) for k in prints}
+
+
+def test_simhash(spark):
+    rows = texts(spark)[:300] + [(10**6, ""), (10**6 + 1, "   "), (10**6 + 2, "two words"), (10**6 + 3, "Two WORDS")]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {k: plain_print(t) for k, t in rows}
+    assert {k: r.fingerprint for k, r in got.items()} == {k: f"{p:016x}" for k, p in prints.items()}
+    assert {k: r.component_id for k, r in got.items()} == plain_components(prints)
+
+
+@pytest.mark.parametrize("spread", [0, 6])
+def test_vantage_point_trees(spark, spread):
+    """Small leaves, so that the trees are deep: chains and clusters of near fingerprints among random ones."""
+    rng = random.Random(spread)
+    points = [rng.getrandbits(64) for _ in range(1500)]
+    for base in points[:60]:
+        now = base
+        for _ in range(8):
+            for _ in range(rng.randint(1, 4)):
+                now ^= 1 << rng.randrange(64 if not spread else spread)
+            points.append(now)
+    points = list(dict.fromkeys(points))
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in points]
+    frame = spark.createDataFrame(signed, "fingerprint long")
+    assert all(len(t) > 7 for t in simhash._fit(frame, 60))
+    roots = {r.node: r.root for r in simhash.components(simhash.links(frame, leaf_rows=60)).collect()}
+    want = plain_components(dict(enumerate(points)))
+    groups = lambda of: sorted(sorted(g) for g in of.values() if len(g) > 1)
+    a, b = {}, {}
+    for k, (p,) in enumerate(signed):
+        a.setdefault(roots.get(p, p), []).append(k)
+        b.setdefault(want[k], []).append(k)
+    assert groups(a) == groups(b)
+
+
+# Suffix tree
+
+
+def test_suffix_tree_base(spark):
+    rows = texts(spark) + [(10**6 + 3, "")]
+    got = {r.doc_id: r for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), p_min=1e-3).collect()}
+    tokens = {k: [*WORD.findall(t.translate(LOWER)), None] for k, t in rows}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
+    counts = Counter(t for k, ts in tokens.items() if not held[k] for t in ts)
+    n, v = sum(counts.values()), len(counts)
+    for k, ts in tokens.items():
+        r = got[k]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(ts), sum(t in counts for t in ts), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts))
+
+
+def plain_tree(tokens, held, p_min):
+    """The same tree from dictionaries; returns log10 of the probability of a word after its context."""
+    training = [ts for k, ts in tokens.items() if not held[k]]
+    uni = Counter(t for ts in training for t in ts)
+    n, v = sum(uni.values()), len(uni)
+    least = max(suffix_tree.MIN_COUNT, p_min * n)
+    root = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+    states, below = {}, {(): root}
+    for length in (1, 2):
+        grams = Counter(tuple(ts[i : i + length + 1]) for ts in training for i in range(len(ts) - length))
+        contexts = Counter(tuple(ts[i : i + length]) for ts in training for i in range(len(ts) - length + 1))
+        lists = {}
+        for gram, c in grams.items():
+            if c >= least:
+                lists.setdefault(gram[:-1], {})[gram[-1]] = c
+        for context, nexts in lists.items():
+            total = contexts[context]
+            lower = states.get(context[1:])
+            under = lambda w, lower=lower: lower[0].get(w) or lower[1] * root(w) if lower else root(w)
+            if length == 2:  # the suffix's listed words only where the suffix is a state and lists the word
+                under = lambda w, lower=lower: lower[0][w] if lower and w in lower[0] else root(w)
+            rest = 1 - sum(max(c - suffix_tree.DISCOUNT, 0) for c in nexts.values()) / total
+            p = {w: max(c - suffix_tree.DISCOUNT, 0) / total + rest * under(w) for w, c in nexts.items()}
+            gain = sum(c * math.log(p[w] / under(w)) for w, c in nexts.items()) + (total - sum(nexts.values())) * math.log(max(rest, 1e-12))
+            if gain >= suffix_tree.MIN_GAIN:
+                states[context] = (p, max(rest, 1e-12))
+
+    def score(ts):
+        out = 0.0
+        for i, w in enumerate(ts):
+            value = math.log10(root(w))
+            for length in (1, 2):
+                state = states.get(tuple(ts[i - length : i])) if i >= length else None
+                if state:
+                    value = math.log10(state[0][w]) if w in state[0] else value + math.log10(state[1])
+            out += value
+        return out
+
+    return score, states
+
+
+def test_suffix_tree_scores(spark):
+    rng = random.Random(3)
+    phrase = "in no event shall the authors be liable for any claim".split()
+    turns = lambda: rng.choice(["p q r", "s q t"]).split()  # noqa: E731  what follows q depends on the word before it
+    rows = [(k, " ".join([rng.choice("abcdefgh") for _ in range(40)] + phrase + turns() + turns() + [rng.choice("abcdefgh") for _ in range(10)])) for k in range(120)] + [(500, ""), (501, "a"), (502, "zz yy xx")]
+    got = {r.doc_id: r for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), p_min=1e-4).collect()}
+    tokens = {k: [*WORD.findall(t), ""] for k, t in rows}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
+    score, states = plain_tree(tokens, held, 1e-4)
+    assert {len(c) for c in states} == {1, 2}
+    for k, ts in tokens.items():
+        assert got[k].score == pytest.approx(score(ts)), k
+    gain = [got[k].score - got[k].base_score for k in tokens if held[k] and k < 500]
+    assert min(gain) > 5
+
+
+# Classifiers
+
+
+def held_out_accuracy(spark, rows, labels, field, want):
+    label = {r.doc_id: r[field] for r in labels.collect() if r[field] is not None}
+    held = [(label[r.doc_id], r.predicted) for r in rows.collect() if r.doc_id in label and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 20 and sum(a == b for a, b in held) / len(held) >= want
+    for y in (0, 1):
+        own = [b for a, b in held if a == y]
+        assert sum(b == y for b in own) / max(1, len(own)) >= want - 0.25
+
+
+def test_toxicity_held_out(spark):
+    d = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held_out_accuracy(spark, toxicity.scored(docs, toxicity.fit(docs, labels)), labels, "toxic", 0.95)
+
+
+def test_toxicity_sees_through_disguises(spark):
+    d = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels, sample_rows=1500)
+    plain = toxicity.Scorer(model["weights"], model["bigrams"])
+    for token in ("1d1ot", "m0r0n", "s.c.u.m", "l o s e r", "stuuuupid", "p@thetic", "tr4$h", "cl0wn", "w-o-r-t-h-l-e-s-s", "d1sgu5t1ng"):
+        assert plain.raw(f"the of and {token} in to that") >= toxicity.MIN_WEIGHT, token
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").orderBy("doc_id").limit(300).collect()]
+    flagged = sum(1 / (1 + math.exp(-(plain.raw(t) * model["slope"] + model["bias"]))) >= 0.5 for t in clean)
+    assert flagged <= 3
+
+
+def test_quality_held_out(spark):
+    d = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held_out_accuracy(spark, quality.classified(docs, labels), labels, "quality", 0.9)
+
+
+def test_quality_density(spark):
+    """The scores are those of numpy's own densities."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    stats = quality.measured(docs).cache()
+    model = quality.fit(stats, labels)
+    got = {r.doc_id: r.score for r in quality.scored(stats, model).collect()}
+    x = stats.toPandas().set_index("doc_id")[model["names"]]
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    own = {y: x.loc[[k for k, q in known.items() if q == y]].to_numpy() for y in (0, 1)}
+    pooled = sum(len(a) * np.cov(a.T, bias=True) for a in own.values()) / sum(map(len, own.values()))
+    log = {}
+    for y, a in own.items():
+        cov = (1 - quality.POOLED - quality.IDENTITY) * np.cov(a.T, bias=True) + quality.POOLED * pooled + quality.IDENTITY * np.diag(np.diag(pooled)) + 1e-8 * np.eye(len(pooled))
+        z = x.to_numpy() - a.mean(axis=0)
+        log[y] = -0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z) - 0.5 * np.linalg.slogdet(cov)[1] + math.log((len(a) + 1) / (sum(map(len, own.values())) + 2))
+    for k, a, b in zip(x.index, log[1], log[0], strict=True):
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, a - b)))), abs=1e-6)
+
+
+# Secrets
+
+
+def test_secret_scan(spark):
+    rng = random.Random(5)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for k in range(200):
+        noise = " ".join(rng.choice(["lorem", "ipsum", "dolorsitametconsectetur", "adipiscing"]) for _ in range(20))
+        tail = [f'token = "{hexes(40)}" end', f"password={hexes(18)} end", "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16)), "4249604924884952 end"][k % 4]
+        rows.append((k, f"{noise} {tail}"))
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), train_on=F.col("doc_id") % 5 != 0).collect()
+    for r in got:
+        assert rows[r.doc_id][1][r.start : r.end] == r.value
+        assert r.is_secret == (re.fullmatch(r"[0-9a-f]{18}|[0-9a-f]{40}|AKIA.{16}", r.value) is not None), r
+    assert len(got) == sum(len(re.findall(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}", t)) for _, t in rows)
+
+
+# Mixing
+
+
+def test_mix_meets_targets(spark):
+    rng = random.Random(2)
+    rows = [(k, "w " * int(rng.lognormvariate(4, 1)), s) for k, s in enumerate(["a"] * 3000 + ["b"] * 200 + ["c"] * 150 + [None] * 100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes, targets, taken = Counter(), {}, Counter()
+    for r in got:
+        sizes[r.source] += r.size
+        targets[r.source] = r.target
+        taken[r.source] += r.taken
+        assert 0 <= r.copies <= 2
+    assert sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    for s in sizes:
+        assert targets[s] <= 2 * sizes[s] + 1e-6 and abs(taken[s] - targets[s]) <= 0.05 * targets[s] + 500
+
+
+# Awkward rows
+
+
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
+OPERATORS = {
+    "decontamination": lambda s, d: decontamination.contained(d, s.createDataFrame([(1, cases.PROSE), (2, None), (3, "one"), (3, "one")], "item_id long, text string")),
+    "decontaminated": lambda s, d: decontamination.decontaminated(d, s.createDataFrame([(1, cases.PROSE)], "item_id long, text string")).select(*cases.SCHEMA.replace(",", "").split()[::2]),
+    "pii": lambda s, d: pii.digest(d),
+    "mixing": lambda s, d: mixing.mix(d),
+    "emit": lambda s, d: mixing.emit(d).select("doc_id", "text", "mix_copy"),
+    "secrets": lambda s, d: secret_scan.scan(d, F.col("source")),
+    "rules": lambda s, d: rules.ledger(d),
+    "simhash": lambda s, d: simhash.near_duplicates(d),
+    "deduplicated": lambda s, d: simhash.deduplicated(d).select("doc_id", "text"),
+    "suffix_tree": lambda s, d: suffix_tree.scored(d),
+    "toxicity": lambda s, d: toxicity.scored(d, toxicity.fit(d, s.createDataFrame([(1, 1, 0), (7, 1, 1), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int"))).select("doc_id", "score", "predicted"),
+    "quality": lambda s, d: quality.classified(d, s.createDataFrame([(1, 1, 0), (6, 0, 0), (9, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_rows(spark, name):
+    f = OPERATORS[name]
+    plain = rows_of(f(spark, cases.documents(spark)))
+    assert plain == rows_of(f(spark, cases.clashing(spark)))
+    f(spark, cases.empty(spark)).collect()
+    if name in ("pii", "mixing", "rules", "simhash", "suffix_tree", "toxicity", "quality"):
+        assert len(plain) == len(cases.ROWS)
+        assert not f(spark, cases.empty(spark)).collect()
+
+
+def test_decisions(spark):
+    docs = cases.documents(spark)
+    items = spark.createDataFrame([(1, cases.PROSE), (2, None), (3, "")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contained(docs, items).collect()} == {(1, 1), (2, 1), (7, 1)}
+    kept = [r.doc_id for r in simhash.deduplicated(docs).collect()]
+    assert sorted(k for k in kept if k) == [1, 3, 6, 7, 9, 10] or 2 in kept
+    assert kept.count(7) == 1 and 4 not in kept and 5 not in kept
+
+
+def test_urls(spark):
+    pages = spark.createDataFrame([(1, "http://WWW.Example.com/en/x?q"), (2, "http://a.net/fr/"), (3, None), (4, "no scheme"), (5, "http://a.org/"), (5, "http://a.org/"), (6, "http://a.net"), (7, "x://" + "a." * 200 + "example.com/en/")], "page_id long, url string")
+    listed = spark.createDataFrame([*registered.URL_RULES, (None, "/", "block"), ("", "/", "block")], "host string, path string, verdict string")
+    got = [(r.page_id, r.rule, r.verdict) for r in urls.judge(pages, listed).orderBy("page_id").collect()]
+    assert got == [(1, "www.example.com/en/", "allow"), (2, "net/fr/", "block"), (3, None, "allow"), (4, None, "allow"), (5, None, "allow"), (5, None, "allow"), (6, None, "allow"), (7, "example.com/en/", "block")]
+    assert urls.judge(pages.limit(0), listed).count() == 0 and urls.judge(pages, listed.limit(0)).where("rule IS NOT NULL").count() == 0
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    blocks, n = urls.bloom(keys)
+    assert urls.possible(keys, blocks, n).count() == 3000
+    assert urls.possible(spark.range(3000, 33000).select(F.concat(F.lit("k"), "id").alias("key")), blocks, n).count() < 600
+
+
+def test_pipeline(spark, tmp_path):
+    out = corpus_pipeline.run(spark, SF)
+    first = spark.read.parquet(f"{SF}/documents.parquet")
+    assert set(first.columns) <= set(out.columns)
+    assert 0 < out.select("doc_id").distinct().count() < first.count()
+    assert not out.where(F.col("text").rlike("@mail[0-9]")).count()
+    bad = {r.doc_id for r in decontamination.contained(first, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert not bad & {r.doc_id for r in out.select("doc_id").collect()}
+
+
+def test_sql(spark):
+    import duckdb
+
+    con, run, sql = duckdb.connect(), registered.queries(), registered.oracle_sql()
+    for name in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    show = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    for name, text in sql.items():
+        got = run[name](spark, SF)
+        names = sorted(got.columns)
+        want = con.sql(text).select(*names).fetchall()
+        assert sorted(tuple(map(show, r)) for r in got.select(*names).collect()) == sorted(tuple(map(show, r)) for r in want), name
