@@ -83,13 +83,13 @@ def _with_spans(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """entity, context, terms, n: each protected entity with its distinct surroundings and the documents that have them.
+    """row, entity, context, terms: each protected entity of each document (row) with its surroundings.
 
     An entity is a kind with the lower-cased value, digits only for numbers. Its surroundings are the nearest words on
     either side; copies of a document share them and so count as one context."""
-    rows = _with_spans(docs)
+    rows = _with_spans(docs.withColumn("__row", F.monotonically_increasing_id()), "__row")
     spans = F.concat(*[F.transform(f"__{k}", partial(_of_kind, k)) for k in KINDS])
-    each = rows.select("__text", F.explode(spans).alias("s"))
+    each = rows.select("__row", "__text", F.explode(spans).alias("s"))
     value = F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
     first = F.greatest(F.col("s.start") - WINDOW_CHARS, F.lit(0))
     left, right = plain_words(F.substring("__text", first + 1, F.col("s.start") - first)), plain_words(F.substring("__text", F.col("s.end") + 1, F.lit(WINDOW_CHARS)))
@@ -97,8 +97,8 @@ def contexts(docs: DataFrame) -> DataFrame:
     cut = F.length("__text") > F.col("s.end") + WINDOW_CHARS
     near_right = F.slice(F.when(cut, F.slice(right, F.lit(1), F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right), 1, WINDOW_WORDS)
     terms = F.filter(F.array_distinct(F.concat(near_left, near_right)), lambda w: F.length(w) >= 3)
-    rows = each.select(F.concat_ws(":", "s.kind", value).alias("entity"), F.array_sort(terms).alias("terms"))
-    return rows.groupBy("entity", F.xxhash64(F.array_join("terms", " ")).alias("context")).agg(F.first("terms").alias("terms"), F.count("*").alias("n"))
+    sorted_terms = F.array_sort(terms)
+    return each.select(F.col("__row").alias("row"), F.concat_ws(":", "s.kind", value).alias("entity"), F.xxhash64(F.array_join(sorted_terms, " ")).alias("context"), sorted_terms.alias("terms"))
 
 
 def disclosing(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, min_contexts: int = MIN_CONTEXTS) -> tuple[DataFrame, DataFrame]:
@@ -107,15 +107,24 @@ def disclosing(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at:
     Only a term that stands beside an entity in min_contexts distinct surroundings can reveal it. For it,
     ratio = log(N * n_both / (n_entity * n_term)) / log(N / n_entity) with counts of documents over the whole corpus."""
     found = saved(contexts(docs))
-    entities = found.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= min_contexts)
-    both = found.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_contexts"))
-    both = saved(both.where(F.col("n_contexts") >= min_contexts).drop("n_contexts").join(entities.drop("n_contexts"), "entity"))
+    total = docs.select(F.count("*").alias("n")).first()["n"]
+    entities = found.groupBy("entity").agg(F.countDistinct("row").alias("n_entity"), F.countDistinct("context").alias("n_contexts"))
+    entities = entities.where((F.col("n_contexts") >= min_contexts) & (F.col("n_entity") < total)).drop("n_contexts")
+    beside = found.select("row", "entity", "context", F.explode("terms").alias("term"))
+    both = beside.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("context").alias("n_contexts"))
+    both = both.where(F.col("n_contexts") >= min_contexts).drop("n_contexts").join(entities, "entity")
+
+    def ratio(n_term: str):
+        pmi = F.log(F.lit(float(total)) * F.least("n_both", n_term) / (F.col("n_entity") * F.col(n_term)))
+        return pmi / F.log(F.lit(float(total)) / F.col("n_entity"))
+
+    # a term has at least the documents in which it stands beside any entity, so that its ratio is at most what they give
+    near = beside.groupBy("term").agg(F.countDistinct("row").alias("n_near"))
+    both = saved(both.join(near, "term").where(ratio("n_near") >= generalise_at).drop("n_near"))
     asked = bounded(both.select("term").distinct())
     where = saved(docs.select("doc_id", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("term")).join(asked, "term", "left_semi"))
-    total = docs.select(F.count("*").alias("n")).first()["n"]
     n_term = where.groupBy("term").agg(F.count("*").alias("n_term"))
-    pmi = F.log(F.lit(float(total)) * F.least("n_both", "n_term") / (F.col("n_entity") * F.col("n_term")))
-    rated = both.join(n_term, "term").where(F.col("n_entity") < total).withColumn("ratio", pmi / F.log(F.lit(float(total)) / F.col("n_entity")))
+    rated = both.join(n_term, "term").withColumn("ratio", ratio("n_term"))
     terms = rated.groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= generalise_at)
     terms = saved(terms.withColumn("action", F.when(F.col("ratio") >= remove_at, "remove").otherwise("generalise")))
     return terms, where
