@@ -121,13 +121,13 @@ def disclosing(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at:
     # a term has at least the documents in which it stands beside any entity, so that its ratio is at most what they give
     near = beside.groupBy("term").agg(F.countDistinct("row").alias("n_near"))
     both = saved(both.join(near, "term").where(ratio("n_near") >= generalise_at).drop("n_near"))
-    asked = bounded(both.select("term").distinct())
-    where = saved(docs.select("doc_id", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("term")).join(asked, "term", "left_semi"))
-    n_term = where.groupBy("term").agg(F.count("*").alias("n_term"))
-    rated = both.join(n_term, "term").withColumn("ratio", ratio("n_term"))
+    occurring = docs.select("doc_id", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("term"))
+    # counted for all words before the join, whose rows then follow the terms and not their occurrences
+    n_term = occurring.groupBy("term").agg(F.count("*").alias("n_term"))
+    rated = n_term.join(bounded(both), "term").withColumn("ratio", ratio("n_term"))
     terms = rated.groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= generalise_at)
     terms = saved(terms.withColumn("action", F.when(F.col("ratio") >= remove_at, "remove").otherwise("generalise")))
-    return terms, where
+    return terms, saved(occurring.join(bounded(terms.select("term")), "term", "left_semi"))
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
