@@ -16,6 +16,7 @@ def export_new(stream: DataFrame, out: str, state: str) -> DataStreamWriter:
     def write(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("session_id").agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
         spark = batch.sparkSession
+        spark.createDataFrame([], batch.schema).write.mode("ignore").parquet(f"{out}/batch=-1")
         earlier = spark.read.schema(batch.schema.add("batch", "long")).parquet(out).where(F.col("batch") < number)
         sessions.unseen(latest, earlier).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
