@@ -24,7 +24,7 @@ def test_claude_log(spark, tmp_path):
     ]
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n{broken\n\n")
     got = logs.read(spark, {"claude": str(tmp_path)})
-    assert [(r.session_id, r.role, r.content) for r in got.orderBy("seq").collect()] == [("claude_s1", "user", "hello"), ("claude_s1", "assistant", "ok"), ("claude_s1", "user", "")]
+    assert [(r.session_id, r.seq, r.role, r.content) for r in got.orderBy("seq").collect()] == [("claude_s1", 0, "user", "hello"), ("claude_s1", 1, "assistant", "ok"), ("claude_s1", 2, "user", "")]
     call = logs.tool_calls(got).collect()
     assert [(c.name, json.loads(c.arguments), c.result, c.status) for c in call] == [("write_file", {"path": "a"}, "done", "success")]
 

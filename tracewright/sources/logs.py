@@ -12,7 +12,7 @@ from tracewright.functions import scalars
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, v (variant) of each line that is JSON; bad lines are left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return rows.select("file", "line_no", F.try_parse_json("line").alias("v")).where("v IS NOT NULL")
 
