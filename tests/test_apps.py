@@ -99,3 +99,23 @@ def test_read(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))
     got = apps.read(spark, {"claude": str(tmp_path), "cline": str(tmp_path)}).orderBy("seq").collect()
     assert [[(t.name, t.server, t.result, t.status) for t in r.tools] for r in got] == [[("mcp__fs__read", "fs", "done", "success")], []]
+
+
+def test_desktop(spark, tmp_path):
+    lines = [
+        {"type": "system", "subtype": "init", "model": "x"},
+        {"type": "user", "message": {"content": "hi"}},
+        {"type": "assistant", "message": {"content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "yes"}, {"type": "tool_use", "id": "1", "name": "mcp__fs__read", "input": {}}]}},
+        {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "1", "content": "out"}]}},
+    ]
+    text = "\n".join(map(json.dumps, lines)) + "\n{broken\n"
+    for folder in ("u/o/local_a", "u/o/agent/local_ditto_b", "u/o/local_old", "u/.hidden/local_c"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "audit.jsonl").write_text(text)
+    (tmp_path / "u/o/local_a.json").write_text(json.dumps({"lastActivityAt": 1704067200000, "cwd": "/w", "model": "m"}, indent=1))
+    (tmp_path / "u/o/local_old.json").write_text(json.dumps({"lastActivityAt": 1}))
+    got = apps.desktop(spark, str(tmp_path), since_ms=1000000).orderBy("session_id", "seq").collect()
+    assert [(r.session_id, r.role, r.content) for r in got] == [(s, role, c) for s in (apps.INTERACTIVE + "a", apps.DISPATCHED + "b") for role, c in (("user", "hi"), ("assistant", "yes"))]
+    assert [(t.name, t.server, t.result) for t in got[1].tools] == [("mcp__fs__read", "fs", "out")]
+    assert (str(got[0].ts), got[0].cwd, got[0].model) == ("2024-01-01 00:00:00", "/w", "m")
+    assert got[2].ts is not None and got[2].cwd is None

@@ -17,6 +17,8 @@ COLUMNS = ("session_id", "file", "seq", "ts", "cwd", "model", "role", "content",
 TOOL = "struct<name:string,server:string,arguments:string,result:string,status:string,error:string>"
 #: What stands for the content of a message that only has tools.
 USED_TOOLS, DECIDED_TOOL = "[Assistant used tools]", "[Assistant decided to use a tool]"
+#: Beginnings of the ids of the desktop application's sessions.
+INTERACTIVE, DISPATCHED = "claude_desktop_", "claude_desktop_dispatch_"
 #: A call of a tool inside text: server, tool and arguments.
 CALL = r"(?s)<use_mcp_tool>\s*<server_name>([^<]+)</server_name>\s*<tool_name>([^<]+)</tool_name>\s*<arguments>\s*(\{.*?\})\s*</arguments>\s*</use_mcp_tool>"
 #: A text of a rich-text tree, as it is written in JSON.
@@ -226,7 +228,31 @@ def with_tools(messages: DataFrame) -> DataFrame:
     return joined.withColumn("tools", F.coalesce("tools", F.array().cast(f"array<{TOOL}>"))).select(*COLUMNS)
 
 
-SOURCES = {"claude": lambda spark, path: with_tools(logs.claude(spark, path)), "codex": lambda spark, path: with_tools(logs.codex(spark, path)), "cline": cline, "cursor": cursor, "warp": warp, "opencode": opencode}
+#: A session of the desktop application: a folder for the user and one for the organisation, none of them hidden.
+DESKTOP = r"/[^/.][^/]*/[^/.][^/]*/(?:agent/local_ditto_[^/]+|local_[^/]+)/audit\.jsonl$"
+
+
+def desktop(spark: SparkSession, path: str, since_ms: int | None = None) -> DataFrame:
+    """A folder for each session with its lines, beside it a JSON file of the same name with time, folder and model.
+
+    The time is that of the last activity, else of the creation, else of the file of lines; a session without metadata is kept,
+    and since_ms leaves out those whose last activity is earlier."""
+    name = F.regexp_extract("file", "/local_(?:ditto_)?([^/]+)/audit\\.jsonl$", 1)
+    rows = with_tools(logs.claude(spark, path, "audit.jsonl", F.when(F.regexp_like("file", F.lit(DESKTOP)), name)))
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "local_*.json").text(path, wholetext=True)
+    found = found.select(F.regexp_replace("_metadata.file_path", "\\.json$", "").alias("folder"), F.try_parse_json("value").alias("v"))
+    meta = found.select("folder", _get("v", "$.lastActivityAt", "double").alias("active"), _get("v", "$.createdAt", "double").alias("created"), _get("v", "$.cwd").alias("own_cwd"), _get("v", "$.model").alias("own_model"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "audit.jsonl").load(path).select(F.col("_metadata.file_path").alias("file"), "modificationTime")
+    rows = rows.withColumn("folder", F.regexp_replace("file", "/audit\\.jsonl$", "")).join(meta, "folder", "left").join(files, "file", "left")
+    if since_ms:
+        rows = rows.where(F.col("active").isNull() | (F.col("active") >= since_ms))
+    at = F.coalesce(F.timestamp_millis(F.coalesce("active", "created").cast("long")), F.col("modificationTime"))
+    prefix = F.when(F.contains("folder", F.lit("/agent/local_ditto_")), F.lit(DISPATCHED)).otherwise(F.lit(INTERACTIVE))
+    rows = rows.withColumns({"session_id": F.concat(prefix, F.expr("substr(session_id, 8)")), "ts": at, "cwd": F.col("own_cwd"), "model": F.col("own_model")})
+    return _said(rows)
+
+
+SOURCES = {"claude": lambda spark, path: with_tools(logs.claude(spark, path)), "codex": lambda spark, path: with_tools(logs.codex(spark, path)), "claude_desktop": desktop, "cline": cline, "cursor": cursor, "warp": warp, "opencode": opencode}
 
 
 def read(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -4,16 +4,16 @@ A text source has no line numbers, so a file is read whole and its lines are num
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str, files: str = "*.jsonl") -> DataFrame:
     """file, line_no, v (variant) of each line that is JSON; bad lines are left out."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path, wholetext=True)
+    rows = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return rows.select("file", "line_no", F.try_parse_json("line").alias("v")).where("v IS NOT NULL")
 
 
@@ -21,11 +21,12 @@ def _text(path: str, kind: str = "string"):
     return F.try_variant_get("v", path, kind)
 
 
-def claude(spark: SparkSession, path: str) -> DataFrame:
+def claude(spark: SparkSession, path: str, files: str = "*.jsonl", sid: Column | None = None) -> DataFrame:
     """session_id, seq, ts, cwd, model, role, content, tool_calls(id, name, arguments), tool_results(id, result).
 
-    Lines without sessionId and of other types are left out; content is a string or a list of parts."""
-    rows = lines(spark, path).withColumns({"sid": _text("$.sessionId"), "type": _text("$.type")}).where("coalesce(sid, '') <> '' AND type IN ('user', 'assistant')")
+    Lines without sessionId (or without sid, a session's id by file) and of other types are left out; content is a string or
+    a list of parts."""
+    rows = lines(spark, path, files).withColumns({"sid": _text("$.sessionId") if sid is None else sid, "type": _text("$.type")}).where("coalesce(sid, '') <> '' AND type IN ('user', 'assistant')")
     part = "array<struct<type:string,text:string,id:string,name:string,input:variant,tool_use_id:string,content:variant>>"
     parts = F.coalesce(F.try_variant_get("v", "$.message.content", part), F.array().cast(part))
     rows = rows.withColumn("parts", parts)
