@@ -94,9 +94,11 @@ def _among(known: tuple[str, ...], word: Column) -> Column:
 def language(text: Column) -> Column:
     """The language with the most common words in the text; unknown if there are none."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
-    votes = F.array(*[F.size(F.filter(words, partial(_among, known))) for known in COMMON_WORDS.values()])
-    best = F.array_max(votes)
-    return F.when(best > 0, F.element_at(F.array(*map(F.lit, COMMON_WORDS)), F.array_position(votes, best).cast("int"))).otherwise("unknown")
+    common = F.filter(words, partial(_among, tuple({w for known in COMMON_WORDS.values() for w in known})))
+    # lambda variables, so that words and votes are computed once
+    votes = F.transform(F.array(common), lambda found: F.array(*[F.size(F.filter(found, partial(_among, known))) for known in COMMON_WORDS.values()]))
+    named = lambda v: F.element_at(F.array(*map(F.lit, COMMON_WORDS)), F.array_position(v, F.array_max(v)).cast("int"))
+    return F.get(F.transform(votes, lambda v: F.when(F.array_max(v) > 0, named(v)).otherwise("unknown")), F.lit(0))
 
 
 def health(rows: DataFrame, bad: Column, *by: str) -> DataFrame:
