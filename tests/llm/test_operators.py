@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -142,6 +143,32 @@ def test_vantage_point_trees(spark, spread):
 # Suffix tree
 
 
+def test_vantage_point_trees_miss_no_pair():
+    rng, one = np.random.default_rng(5), np.uint64(1)
+    base = rng.integers(0, 2**63, 20_000).astype(np.uint64)
+    near = base.copy()
+    for k in range(2):  # one or two bits of the upper half
+        near ^= np.where((k == 0) | (np.arange(len(base)) % 2 == 0), one << rng.integers(32, 64, len(base)).astype(np.uint64), np.uint64(0))
+    points = np.unique(np.r_[base, near])
+    trees = []
+    for half in (0, 1):
+        nodes = []
+        simhash._grow(np.unique((points >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)), np.random.default_rng(half), 20, nodes)
+        trees.append(np.array(nodes, np.int64))
+    dealt = pd.concat(simhash._deal(trees)(iter([pd.DataFrame({"fingerprint": points.view(np.int64)})])))
+    met = {(leaf, x) for leaf, x in zip(dealt["leaf"].tolist(), dealt["fingerprint"].tolist(), strict=True)}
+    home = {(leaf >> 32, x): leaf for leaf, x, h in zip(dealt["leaf"].tolist(), dealt["fingerprint"].tolist(), dealt["home"].tolist(), strict=True) if h}
+    # pairs in one half by force: equal there, or one bit apart
+    for half in (0, 1):
+        groups = {}
+        for x in points.tolist():
+            groups.setdefault(x >> 32 * half & 0xFFFFFFFF, []).append(x - (x >> 63 << 64))
+        near_values = [(v, v ^ 1 << k) for v in groups for k in range(32) if v < v ^ 1 << k and v ^ 1 << k in groups]
+        pairs = [(a, b) for v, w in near_values for a in groups[v] for b in groups[w]] + [p for g in groups.values() for p in itertools.combinations(g, 2)]
+        assert len(pairs) > (5_000 if half else 19_000)
+        assert not [p for p in pairs if (home[half, p[0]], p[1]) not in met and (home[half, p[1]], p[0]) not in met]
+
+
 def test_suffix_tree_base(spark):
     rows = texts(spark) + [(10**6 + 3, "")]
     got = {r.doc_id: r for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), p_min=1e-3).collect()}

@@ -3,8 +3,9 @@
 Two fingerprints of 64 bits that differ in at most 3 differ in at most 1 in one of their 32-bit halves. Each half is a metric
 space of its own, so the search is run twice, for radius 1 on a half, and pairs are then held to the whole fingerprint. On a
 half, a vantage-point tree cuts the points by their distance from a pivot; by the triangle bound, only points whose distance
-is exactly one more than the cut can have a neighbour on the inner side, and those are sent there too as guests. (On whole
-fingerprints with radius 3 most points lie within the bound of any cut, and every level would copy most of them.)
+is exactly one more than the cut can have a neighbour on the inner side, and those are sent there too as guests. From there
+on a guest goes to every side where a neighbour may be at home, outwards too from a distance equal to the cut. So each pair
+meets in the home leaf of one of the two. (On whole fingerprints with radius 3 most points lie within the bound of any cut, and every level would copy most of them.)
 """
 
 from __future__ import annotations
@@ -98,8 +99,10 @@ def _deal(trees: list[np.ndarray]):
                         yield pd.DataFrame({"leaf": np.int64(half << 32 | node), "fingerprint": x[rows], "home": home})
                         continue
                     d = np.bitwise_count(part[rows] ^ np.uint64(pivot))
-                    todo.append((inner, rows[d <= cut + 1], home[d <= cut + 1] & (d[d <= cut + 1] <= cut)))
-                    todo.append((outer, rows[d > cut], home[d > cut]))
+                    # a guest must follow the homes it borders on, also outwards; of two homes one side is enough
+                    inside, outside = d <= cut + 1, (d > cut) | (d == cut) & ~home
+                    todo.append((inner, rows[inside], home[inside] & (d[inside] <= cut)))
+                    todo.append((outer, rows[outside], home[outside]))
 
     return walk
 
