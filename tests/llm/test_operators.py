@@ -239,6 +239,18 @@ def test_suffix_tree_scores(spark):
     assert min(gain) > 5
 
 
+def test_suffix_tree_keeps_rare_pairs(spark):
+    """What counts does not depend on the size of the corpus: a phrase seen 12 times tells among 10 million tokens as well."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    text = " ".join(rng.choices(words, k=20_000))
+    rows = [(k, f"{text} end") for k in range(600)] + [(1000 + k, "rare words in this very order") for k in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = [r for r in suffix_tree.scored(docs).where("doc_id >= 1000").collect()]
+    assert len(got) == 15 and {r.train_tokens > 9_000_000 for r in got} == {True}
+    assert all(r.score - r.base_score > 20 for r in got)
+
+
 # Classifiers
 
 

@@ -1,9 +1,10 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-A state is a context of up to two words. As in the learning rule for such trees, only contexts and next words whose share of
-the training tokens is at least P_MIN are looked at, which bounds the tree by 1 / P_MIN entries of each length at any size of
-corpus; a context becomes a state if its next-word distribution diverges from its suffix's by enough. Next-word
-distributions are discounted counts over the suffix's distribution, down to smoothed unigrams, in which every word counts.
+A state is a context of up to two words. Pairs and triples count from MIN_COUNT occurrences on at any size of corpus, so that
+the tree grows with it; a context becomes a state if its next-word distribution diverges from its suffix's by enough.
+Next-word distributions are discounted counts over the suffix's distribution, down to smoothed unigrams, in which every word
+counts. The tree is a DataFrame and no part that grows is gathered: a text's score is the sum of what its words, pairs and
+triples add, each of which is a row of one table, and texts are joined with it.
 """
 
 from __future__ import annotations
@@ -11,16 +12,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import ascii_lower, fold, saved, words
+from tracewright.llm.common import ascii_lower, bounded, fold, saved, words
 
-P_MIN, MIN_COUNT, DISCOUNT = 2e-6, 2, 0.5
+MIN_COUNT, DISCOUNT = 2, 0.5
+#: Share of the training tokens from which on a word, pair or triple is looked up by the workers, and not by the join. It
+#: bounds that table by the inverse for each length and keeps common keys out of the join; the scores don't depend on it.
+COMMON = 2e-6
 #: Nats by which all occurrences of a context must gain over its suffix for it to become a state.
 MIN_GAIN = 10.0
 HELD_OUT = 1
+#: Tokens that a worker takes at once, a text at least; it bounds the worker's memory.
+PIECE = 1 << 18
 #: The hash that stands for the end of a text.
 END = 0
 
@@ -38,160 +44,152 @@ def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of a batch, and where each text ends."""
-    sizes = batch["t"].map(len).to_numpy(np.int64)
-    return (np.concatenate(batch["t"].to_list()).astype(np.int64) if len(batch) else np.zeros(0, np.int64)), np.cumsum(sizes)
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a batch, and the number of the text that each is of."""
+    t = batch.column("t")
+    return t.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(t)), np.diff(t.offsets.to_numpy()))
 
 
-def _joined(tokens: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """Whether the n tokens that begin here are of one text."""
-    text = np.searchsorted(ends, np.arange(len(tokens)), side="right")
-    out = np.zeros(len(tokens), bool)
-    if len(tokens) >= n:
-        out[: len(tokens) - n + 1] = text[: len(tokens) - n + 1] == text[n - 1 :]
-    return out
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut between texts."""
+    for batch in batches:
+        ends, first = batch.column("t").offsets.to_numpy(), 0
+        while first < batch.num_rows:
+            upto = max(first + 1, int(np.searchsorted(ends, ends[first] + PIECE, side="right")) - 1)
+            yield batch.slice(first, upto - first)
+            first = upto
 
 
-def _counted(keys: np.ndarray) -> pd.DataFrame:
-    unique, n = np.unique(keys, return_counts=True)
-    return pd.DataFrame({"key": unique, "n": n})
+def _key(*parts: np.ndarray) -> np.ndarray:
+    """One hash of 64 bits for the words of a pair or triple."""
+    out = np.full(len(parts[0]), len(parts), np.uint64)
+    for x in parts:
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + x.view(np.uint64)
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
 
 
-def _pair_keys(ids: np.ndarray, ends: np.ndarray, n_words: int) -> np.ndarray:
-    """For each token but the first of all: its pair with the token before, as first * n_words + second, or -1 where they are
-    of two texts or one of them is not listed."""
-    on = _joined(ids, ends, 2)[:-1] & (ids[:-1] >= 0) & (ids[1:] >= 0)
-    return np.where(on, ids[:-1] * n_words + ids[1:], -1)
+def _grams(t: np.ndarray, text: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of every run of n tokens of one text, and its text."""
+    size = max(0, len(t) - n + 1)
+    on = text[:size] == text[n - 1 : n - 1 + size]
+    return [t[k : k + size][on] for k in range(n)], text[:size][on]
 
 
-def _count_pairs(shared):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            t, ends = _flat(batch)
-            if len(t) > 1:
-                keys = _pair_keys(_find(shared.value, t), ends, len(shared.value))
-                yield _counted(keys[keys >= 0])
+def _counted(n: int):
+    """mapInArrow function: the runs of n tokens in a batch with their counts."""
 
-    return count
-
-
-def _count_triples(shared):
-    """Of pairs that are both listed: the first one's place * n_words + the last word."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words, pairs = shared.value
-            t, ends = _flat(batch)
-            if len(t) > 2:
-                ids = _find(words, t)
-                at = _find(pairs, _pair_keys(ids, ends, len(words)))
-                on = (at[:-1] >= 0) & (at[1:] >= 0)
-                yield _counted(at[:-1][on] * len(words) + ids[2:][on])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            found, _ = _grams(*_flat(batch), n)
+            _, first, times = np.unique(_key(*found), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[first]) for x in found], pa.array(times.astype(np.int64))], names=[*"abc"[:n], "n"])
 
     return count
 
 
-def _states(context: np.ndarray, n: np.ndarray, total: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by context (n: count of the next word in it, total: of the context, below: probability under the
-    suffix): probabilities, which rows' contexts are states, and each row's weight of the suffix."""
-    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, len(context)])
-    mass = np.add.reduceat(np.maximum(n - DISCOUNT, 0), starts) if len(starts) else np.zeros(0)
-    rest = np.repeat(1 - mass / total[starts], sizes)
-    p = np.maximum(n - DISCOUNT, 0) / total + rest * below
-    gain = np.add.reduceat(n * np.log(p / below), starts) if len(starts) else np.zeros(0)
+def _states(rows: DataFrame, context: list[str]) -> DataFrame:
+    """rows (context, n: count of the next word in it, total: of the context, below: probability of the next word under the
+    suffix) of the contexts that are states, with p and rest, the weight of the suffix."""
+    mass = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))
+    sums = rows.groupBy(context).agg(F.sum(mass).alias("mass"), F.sum("n").alias("listed"), F.max("total").alias("total"))
+    sums = sums.select(*context, (1 - F.col("mass") / F.col("total")).alias("rest"), (F.col("total") - F.col("listed")).alias("others"))
+    each = rows.join(sums, context).withColumn("p", mass / F.col("total") + F.col("rest") * F.col("below"))
     # next words that are not listed lose the factor `rest` against the suffix
-    listed = np.add.reduceat(n, starts) if len(starts) else np.zeros(0)
-    gain = gain + (total[starts] - listed) * np.log(np.maximum(1 - mass / total[starts], 1e-12))
-    return p, np.repeat(gain >= MIN_GAIN, sizes), rest
+    lost = F.max("others") * F.log(F.greatest(F.max("rest"), F.lit(1e-12)))
+    gains = each.groupBy(context).agg((F.sum(F.col("n") * F.log(F.col("p") / F.col("below"))) + lost).alias("gain"))
+    return each.join(gains.where(F.col("gain") >= MIN_GAIN).select(*context), context).withColumn("rest", F.greatest("rest", F.lit(1e-12)))
+
 
+def train(training: DataFrame, p_min: float = 0.0) -> tuple[int, float, DataFrame]:
+    """From training (column t): the number of tokens, the denominator of unigrams, and the table of what each word, pair and
+    triple adds to a score: key, n, base (of words: log10 of the unigram), more (what contexts change), word (whether it is one).
 
-def train(training: DataFrame, p_min: float = P_MIN) -> tuple[dict, DataFrame]:
-    """The tree (arrays by sorted key), and the counts of all words (key, n) of training: columns t."""
+    p_min is a least share of the tokens for pairs and triples; by default none is asked for."""
     unigrams = saved(training.select(F.explode("t").alias("key")).groupBy("key").agg(F.count("*").alias("n")))
     total = unigrams.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_all, vocabulary = int(total["n"] or 0), int(total["v"])
-    denominator = n_all + 0.5 * (vocabulary + 1)
+    n_all, denominator = int(total["n"] or 0), int(total["n"] or 0) + 0.5 * (int(total["v"]) + 1)
     least = max(MIN_COUNT, p_min * n_all)
-    sc = training.sparkSession.sparkContext
-    listed = unigrams.where(F.col("n") >= least).toPandas().sort_values("key")
-    key, n = listed["key"].to_numpy(np.int64), listed["n"].to_numpy(np.float64)
-    unigram, n_words = (n + 0.5) / denominator, max(1, len(key))
-
-    def gathered(function, shared) -> tuple[np.ndarray, np.ndarray]:
-        counted = training.select("t").mapInPandas(function(sc.broadcast(shared)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        rows = counted.where(F.col("n") >= least).toPandas().sort_values("key")
-        return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-
-    pairs, pair_n = gathered(_count_pairs, key)
-    first, second = pairs // n_words, pairs % n_words
-    p, state, rest = _states(first, pair_n, n[first], unigram[second])
-    one_rest = np.full(len(key), np.nan)
-    one_rest[first[state]] = np.log10(np.maximum(rest[state], 1e-12))
-    triples, triple_n = gathered(_count_triples, (key, pairs))
-    context, last = triples // n_words, triples % n_words
-    suffix = _find(pairs, second[context] * n_words + last)
-    below = np.where(state[suffix], p[suffix], unigram[last]) if len(triples) else np.zeros(0)
-    p3, state3, rest3 = _states(context, triple_n, pair_n[context], below)
-    two_rest = np.full(len(pairs), np.nan)
-    two_rest[context[state3]] = np.log10(np.maximum(rest3[state3], 1e-12))
-    model = {"tokens": n_all, "denominator": denominator, "words": key, "word_logp": np.log10(unigram), "pairs": pairs, "pair_logp": np.log10(p), "one_rest": one_rest}
-    return model | {"triples": triples[state3], "triple_logp": np.log10(p3[state3]), "two_rest": two_rest}, unigrams
+    words = unigrams.where(F.col("n") >= least)
+
+    def gathered(n: int) -> DataFrame:
+        names = list("abc"[:n])
+        rows = training.select("t").mapInArrow(_counted(n), ", ".join(f"{x} long" for x in [*names, "n"]))
+        return saved(rows.groupBy(names).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+
+    unigram = (F.col("n") + 0.5) / F.lit(denominator)
+    pairs = gathered(2).join(bounded(words.select(F.col("key").alias("a"), F.col("n").alias("total"))), "a")
+    pairs = saved(pairs.join(bounded(words.select(F.col("key").alias("b"), unigram.alias("below"))), "b"))
+    one = saved(_states(pairs, ["a"]).select("a", "b", "p", "rest"))
+    # of a listed pair: the probability of the second word after the first
+    under = saved(pairs.join(one, ["a", "b"], "left").select("a", "b", "n", "below", "rest", F.coalesce("p", "below").alias("p")))
+    triples = gathered(3).join(under.select("a", "b", F.col("n").alias("total")), ["a", "b"])
+    triples = saved(triples.join(under.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("p").alias("below")), ["b", "c"]))
+    two = saved(_states(triples, ["a", "b"]).select("a", "b", "c", "n", "below", "p", "rest"))
+    zero, log = F.lit(0.0), F.log10
+    rest1 = one.select(F.col("a").alias("key"), "rest").distinct()
+    rest2 = two.select("a", "b", F.col("rest").alias("rest2")).distinct()
+    of_words = unigrams.join(rest1, "key", "left").select("key", "n", log(unigram).alias("base"), F.coalesce(log("rest"), zero).alias("more"), F.lit(True).alias("word"))
+    more = F.coalesce(log("p") - log("below") - log("rest"), zero) + F.coalesce(log("rest2"), zero)
+    of_pairs = under.join(rest2, ["a", "b"], "left").where("rest IS NOT NULL OR rest2 IS NOT NULL").select(_keyed("a", "b"), "n", more.alias("more"))
+    of_triples = two.select(_keyed("a", "b", "c"), "n", (log("p") - log("below") - log("rest")).alias("more"))
+    longer = of_pairs.unionByName(of_triples).select("key", "n", zero.alias("base"), "more", F.lit(False).alias("word"))
+    return n_all, denominator, saved(of_words.unionByName(longer))
+
+
+def _keyed(*names: str) -> Column:
+    @F.arrow_udf("long")
+    def key(*parts: pa.Array) -> pa.Array:
+        return pa.array(_key(*[x.to_numpy(zero_copy_only=False) for x in parts]))
+
+    return key(*names).alias("key")
 
 
 def _score(shared):
-    """Per text: the parts of both scores that the tree and its listed words give, and the words that are not listed."""
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            m = shared.value
-            t, ends = _flat(batch)
-            at = _find(m["words"], t)
-            base = _taken(m["word_logp"], at, np.zeros(len(t)))
-            value, n_words = base.copy(), max(1, len(m["words"]))
-            if len(t) > 1:
-                pair = _find(m["pairs"], _pair_keys(at, ends, n_words))
-                before = np.where(_joined(t, ends, 2)[:-1], at[:-1], -1)
-                value[1:] = _stepped(value[1:], _taken(m["one_rest"], before, np.full(len(before), np.nan)), m["pair_logp"], pair)
-            if len(t) > 2:
-                before = np.where(_joined(t, ends, 3)[:-2], pair[:-1], -1)
-                triple = _find(m["triples"], np.where((before >= 0) & (at[2:] >= 0), before * n_words + at[2:], -1))
-                value[2:] = _stepped(value[2:], _taken(m["two_rest"], before, np.full(len(before), np.nan)), m["triple_logp"], triple)
-            starts = np.r_[0, ends[:-1]].astype(np.int64)
-            rare = [x[f < 0] for x, f in zip(np.split(t, ends[:-1]), np.split(at, ends[:-1]), strict=True)]
-            sums = lambda x: np.add.reduceat(x, starts)  # noqa: E731  a text has at least its end
-            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": np.diff(np.r_[0, ends]), "n_listed": sums((at >= 0).astype(np.int64)), "base": sums(base), "value": sums(value), "rare": rare})
+    """mapInArrow function: per text a row with a struct, the sums of what is common in it; and a row (row, key) for each of
+    its other words, pairs and triples."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, base, more = shared.value
+        for batch in _pieces(batches):
+            t, text = _flat(batch)
+            size, row = batch.num_rows, batch.column("row").to_numpy(zero_copy_only=False)
+            sums, left, unlisted = np.zeros((2, size)), [], None
+            for n in (1, 2, 3):
+                found, of = _grams(t, text, n)
+                key = found[0] if n == 1 else _key(*found)
+                at = _find(keys, key)
+                on = at >= 0
+                sums += [np.bincount(of[on], table[at[on]], size) for table in (base, more)]
+                left.append((row[of[~on]], key[~on]))
+                unlisted = np.bincount(of[~on], minlength=size) if n == 1 else unlisted
+            parts = [batch.column("doc_id"), batch.column("held_out"), *map(pa.array, (np.bincount(text, minlength=size), unlisted, sums[0], sums[0] + sums[1]))]
+            own = pa.StructArray.from_arrays(parts, names=["doc_id", "held_out", "n_tokens", "n_unlisted", "base", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), own], names=["row", "key", "own"])
+            for rows, key in left:
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(key), pa.nulls(len(key), own.type)], names=["row", "key", "own"])
 
     return score
 
 
-def _taken(table: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return np.where(at >= 0, table[at], other) if len(table) else other
-
-
-def _stepped(value: np.ndarray, rest: np.ndarray, listed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """value where the context is no state (its rest is not a number), else the listed log probability, or the suffix's with
-    the state's rest."""
-    return np.where(np.isnan(rest), value, _taken(listed, at, value + rest))
-
-
-def scored(docs: DataFrame, held_out: int = HELD_OUT, p_min: float = P_MIN) -> DataFrame:
+def scored(docs: DataFrame, held_out: int = HELD_OUT, p_min: float = 0.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
-    Trained on all rows outside the held-out fold. Words that are not among the listed (at most 1 / p_min) frequent ones are
-    looked up by a join with the counts of all words. Null and empty texts are their end alone; repeated rows have a row
-    each; with no training text every word is unknown. Only doc_id and text are read."""
+    Trained on all rows outside the held-out fold. Null and empty texts are their end alone; repeated rows have a row each;
+    with no training text every word is unknown. Only doc_id and text are read."""
     rows = docs.select("doc_id", (fold(F.col("doc_id")) == held_out).alias("held_out"), token_hashes(F.col("text")).alias("t"))
-    model, unigrams = train(rows.where(~F.col("held_out")), p_min)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    n_all, denominator, table = train(rows.where(~F.col("held_out")), p_min)
+    is_common = F.col("n") >= COMMON * n_all
+    common = table.where(is_common).select("key", "base", "more").toPandas().sort_values("key")
+    shared = docs.sparkSession.sparkContext.broadcast([common[c].to_numpy() for c in ("key", "base", "more")])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_listed long, base double, value double, rare array<long>"
-    parts = saved(rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_score(shared), schema))
-    unlisted = parts.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    counted = unlisted.join(unigrams, "key", "left")
-    log_p = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model["denominator"]))
-    rare = counted.groupBy("row").agg(F.sum(F.col("times") * log_p).alias("rare_logp"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    out = parts.drop("rare").join(rare, "row", "left")
-    more = F.coalesce("rare_logp", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_listed") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(model["tokens"]).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("value") + more).alias("score"))
+    schema = f"row long, key long, own struct<doc_id: {kind}, held_out: boolean, n_tokens: long, n_unlisted: long, base: double, value: double>"
+    parts = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(shared), schema)
+    found = parts.join(table.where(~is_common).drop("n"), "key", "left").where("own IS NOT NULL OR base IS NOT NULL")
+    other = lambda c: F.coalesce(F.sum(F.when(F.col("own").isNull(), c)), F.lit(0))
+    own = lambda name: F.max(F.col("own")[name]).alias(name)
+    sums = [other(F.col("word").cast("long")).alias("known"), other(F.col("base")).alias("more_base"), other(F.col("base") + F.col("more")).alias("more_value")]
+    out = found.groupBy("row").agg(*map(own, ("doc_id", "held_out", "n_tokens", "n_unlisted", "base", "value")), *sums)
+    unknown = F.col("n_unlisted") - F.col("known")
+    without = unknown * F.log10(F.lit(0.5) / F.lit(denominator))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_tokens") - unknown).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.col("more_base") + without).alias("base_score"), (F.col("value") + F.col("more_value") + without).alias("score"))
