@@ -385,6 +385,19 @@ def test_decisions(spark):
     assert kept.count(7) == 1 and 4 not in kept and 5 not in kept
 
 
+def test_rows_without_an_id_are_rows_of_their_own(spark):
+    """Null and repeated ids: only the copy, the contaminated row and the row that is not taken go."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=60)) for _ in range(6)]
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (9, texts[4]), (0, texts[5]), (5, texts[5])]
+    docs = spark.createDataFrame([(k, t, "a") for k, t in rows], "doc_id long, text string, source string")
+    pairs = lambda df: sorted(((r.doc_id, texts.index(r.text)) for r in df.collect()), key=repr)
+    assert pairs(simhash.deduplicated(docs)) == sorted([(1, 0), (None, 1), (None, 2), (5, 3), (5, 4), (0, 5)], key=repr)
+    items = spark.createDataFrame([(1, texts[1][:200].rsplit(" ", 1)[0]), (2, texts[3])], "item_id long, text string")
+    assert pairs(decontamination.decontaminated(docs, items)) == sorted(((k, texts.index(t)) for k, t in rows if t not in (texts[1], texts[3])), key=repr)
+    assert pairs(mixing.emit(docs, share=1.0)) == pairs(docs)
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "http://WWW.Example.com/en/x?q"), (2, "http://a.net/fr/"), (3, None), (4, "no scheme"), (5, "http://a.org/"), (5, "http://a.org/"), (6, "http://a.net"), (7, "x://" + "a." * 200 + "example.com/en/")], "page_id long, url string")
     listed = spark.createDataFrame([*registered.URL_RULES, (None, "/", "block"), ("", "/", "block")], "host string, path string, verdict string")

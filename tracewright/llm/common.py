@@ -62,3 +62,8 @@ def saved(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with __row, a number of each row; saved, so that every use of it sees the same numbers."""
+    return saved(df.withColumn("__row", F.monotonically_increasing_id()))

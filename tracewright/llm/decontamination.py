@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import bounded, indices, saved, whole
+from tracewright.llm.common import bounded, indices, numbered, saved, whole
 
 SHINGLE, CONTAINMENT = 5, 0.8
 
@@ -83,6 +83,7 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contain
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that contain an item; all columns stay, repeated rows too."""
-    bad = saved(contained(docs, items, **options).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(bounded(bad), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """docs without the rows whose own text contains an item, whatever their doc_id; all columns stay, repeated rows too."""
+    rows = numbered(docs)
+    bad = saved(contained(rows.select(F.col("__row").alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("__row")).distinct())
+    return rows.join(bounded(bad), "__row", "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import bounded, n_words, saved
+from tracewright.llm.common import bounded, n_words, numbered, saved
 
 #: Rows of one source and size class that one window partition orders.
 BLOCK_ROWS = 20_000
@@ -46,8 +46,13 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -
     that a source with most of the rows is ranked by many tasks: a rank is the rows of earlier blocks plus the rank in the
     block. Rows that agree in doc_id and size (repeated rows) are interchangeable; a source with no words, or a null or
     empty text, has target 0 or takes 0 words. A null source is a source."""
+    return _mixed(docs, [], seed, share, most)
+
+
+def _mixed(docs: DataFrame, keys: list[str], seed: str = "mix", share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mix with further columns of docs, which also order rows that agree in doc_id and size."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("h"))
+    rows = docs.select(*keys, "doc_id", "source", n_words(F.col("text")).alias("size"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("h"))
     rows = saved(rows.withColumn("bin", F.floor(2 * F.sqrt("size")).cast("int")))
     bins = saved(rows.groupBy("source", "bin").agg(F.count("*").alias("rows"), F.sum("size").alias("size")))
     targets = sources_with_targets(bins.groupBy("source").agg(F.sum("size").alias("source_size")), share, most)
@@ -61,23 +66,19 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = targets.withColumns({"rate": rate, "offset": offset})
     plan = starts.alias("s").join(rated.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "t.source_size", "t.target", "t.rate", "t.offset")
-    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("source", "bin", "block").orderBy("h", "doc_id", "size")))
+    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("source", "bin", "block").orderBy("h", "doc_id", "size", *keys)))
     out = ranked.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bin") == F.col("p.bin")) & (F.col("r.block") == F.col("p.block")))
     upto = lambda k: F.floor(F.col("p.offset") + F.col("p.rate") * k)
     copies = (upto(F.col("p.start") + F.col("r.rank")) - upto(F.col("p.start") + F.col("r.rank") - 1)).cast("long")
-    return out.select("r.doc_id", "r.source", "r.size", "p.source_size", "p.target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*[f"r.{k}" for k in keys], "r.doc_id", "r.source", "r.size", "p.source_size", "p.target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """docs with a row for each copy that the mix takes and the column mix_copy (1, 2, ...).
 
-    Rows with the same doc_id (or none) are one document here: the copies of all of them are made of the one with the least
-    text. A column mix_copy of docs is replaced; a document that is not taken has no row."""
-    rows = docs.drop("mix_copy")
-    taken = saved(mix(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__id"))
-    single, repeated = taken.where("__rows = 1 AND __copies > 0"), taken.where("__rows > 1 AND __copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = rows.join(bounded(single), same)
-    first = rows.join(bounded(repeated), same).groupBy("__id", "__copies").agg(F.min_by(F.struct(*rows.columns), F.coalesce("text", F.lit(""))).alias("__row"))
-    both = once.select(*rows.columns, "__copies").unionByName(first.select("__row.*", "__copies"))
+    Each row has its own copies, also where its doc_id is null or repeated. A column mix_copy of docs is replaced; a row that
+    is not taken is left out."""
+    rows = numbered(docs.drop("mix_copy"))
+    taken = saved(_mixed(rows, ["__row"], **options).where("copies > 0").select("__row", F.col("copies").alias("__copies")))
+    both = rows.join(bounded(taken), "__row").drop("__row")
     return both.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__copies")

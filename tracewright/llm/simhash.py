@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import ascii_lower, bound, bounded, indices, saved, words
+from tracewright.llm.common import ascii_lower, bound, bounded, indices, numbered, saved, words
 
 SHINGLE, RADIUS, BITS = 3, 3, 64
 #: Rows of the sample that the trees' pivots and cuts are fitted on, the fingerprints that a leaf should hold, and the block of a leaf that is compared at once.
@@ -180,27 +180,34 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _roots(prints: DataFrame, leaf_rows: int) -> DataFrame:
+    """fingerprint, least (of the doc_ids that have it), root (one fingerprint of its component) of each distinct fingerprint."""
+    distinct = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    reach = saved(components(links(distinct, leaf_rows)))
+    return distinct.join(reach, distinct["fingerprint"] == reach["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach) of every row.
 
     Null and empty texts have fingerprint zero and link like others. A null doc_id is never the id of a component unless all
     of its members are null; repeated rows are members of one component."""
     prints = saved(fingerprints(docs))
-    distinct = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    reach = saved(components(links(distinct, leaf_rows)))
-    member = distinct.join(reach, distinct["fingerprint"] == reach["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    member = _roots(prints, leaf_rows)
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = member.join(ids, "root").select("fingerprint", "component_id")
     return prints.join(of, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component: the one whose id the component has, and of its repeated rows the one with the
-    least text. All columns stay."""
-    found = near_duplicates(docs, **options)
-    found = saved(found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__copy"), F.count("*").alias("__rows")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = docs.join(bounded(found.where("__copy OR __rows > 1").select("__id")), same, "left_anti")
-    repeated = docs.join(bounded(found.where("NOT __copy AND __rows > 1").select("__id")), same)
-    first = repeated.groupBy("__id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
-    return once.unionByName(first)
+def deduplicated(docs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """docs with one row of each component: the one with the least doc_id (null last), and of rows that share it the one with
+    the least text. Rows are told apart by a number of their own, so that null or repeated ids join nothing. All columns stay."""
+    rows = numbered(docs)
+    prints = saved(fingerprints(rows.select(F.col("__row").alias("doc_id"), "text")))
+    of = saved(prints.join(_roots(prints, leaf_rows).drop("least"), "fingerprint").select(F.col("doc_id").alias("__row"), F.col("root").alias("__root")))
+    several = of.groupBy("__root").agg(F.count("*").alias("n")).where("n > 1").select("__root")
+    shared = saved(of.join(several, "__root"))
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.col("__row"))
+    first = rows.join(bounded(shared), "__row").groupBy("__root").agg(F.min_by("__row", rank).alias("__row"))
+    lost = saved(shared.join(first.select("__row"), "__row", "left_anti").select("__row"))
+    return rows.join(bounded(lost), "__row", "left_anti").select(*docs.columns)
