@@ -82,6 +82,16 @@ def test_pii_terms(spark):
     assert out[100] == dict(rows)[100] and "zaphod" not in out[200]
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    """Terms count by whole documents: one that never stands near its entity gives it away as well."""
+    rng = random.Random(3)
+    noise = lambda: " ".join(rng.choice(["red", "green", "blue", "grey", "pink", "plain"]) for _ in range(40))
+    rows = [(k, f"Zaphod {noise()} mail ann@corp.org {noise()}") for k in range(6)] + [(100 + k, f"{noise()} mail {noise()}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.term: r.ratio for r in pii.disclosing(docs)[0].collect()} == {"zaphod": pytest.approx(1.0)}
+    assert "Zaphod" not in {r.doc_id: r.text for r in pii.sanitised(docs).collect()}[0]
+
+
 # SimHash
 
 

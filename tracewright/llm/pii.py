@@ -83,13 +83,20 @@ def _with_spans(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """row, entity, context, terms: each protected entity of each document (row) with its surroundings.
+    """row, entity, context, terms, words: each protected entity of each document (row) with its surroundings, and the
+    distinct words of the document outside of all entities.
 
     An entity is a kind with the lower-cased value, digits only for numbers. Its surroundings are the nearest words on
     either side; copies of a document share them and so count as one context."""
     rows = _with_spans(docs.withColumn("__row", F.monotonically_increasing_id()), "__row")
     spans = F.concat(*[F.transform(f"__{k}", partial(_of_kind, k)) for k in KINDS])
-    each = rows.select("__row", "__text", F.explode(spans).alias("s"))
+    rows = rows.select("__row", "__text", F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))).alias("all")).where(F.size("all") > 0)
+    text = F.col("__text")
+    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    step = lambda acc, s: F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0))), F.lit(" ")).alias("out"))
+    outside = F.aggregate("all", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    words = F.filter(F.array_distinct(plain_words(outside)), lambda w: F.length(w) >= 3)
+    each = rows.select("__row", "__text", words.alias("words"), F.explode("all").alias("s"))
     value = F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
     first = F.greatest(F.col("s.start") - WINDOW_CHARS, F.lit(0))
     left, right = plain_words(F.substring("__text", first + 1, F.col("s.start") - first)), plain_words(F.substring("__text", F.col("s.end") + 1, F.lit(WINDOW_CHARS)))
@@ -98,19 +105,20 @@ def contexts(docs: DataFrame) -> DataFrame:
     near_right = F.slice(F.when(cut, F.slice(right, F.lit(1), F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right), 1, WINDOW_WORDS)
     terms = F.filter(F.array_distinct(F.concat(near_left, near_right)), lambda w: F.length(w) >= 3)
     sorted_terms = F.array_sort(terms)
-    return each.select(F.col("__row").alias("row"), F.concat_ws(":", "s.kind", value).alias("entity"), F.xxhash64(F.array_join(sorted_terms, " ")).alias("context"), sorted_terms.alias("terms"))
+    return each.select(F.col("__row").alias("row"), F.concat_ws(":", "s.kind", value).alias("entity"), F.xxhash64(F.array_join(sorted_terms, " ")).alias("context"), sorted_terms.alias("terms"), "words")
 
 
 def disclosing(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, min_contexts: int = MIN_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """The terms that reveal an entity (term, ratio, action) and where they occur (doc_id, term).
 
-    Only a term that stands beside an entity in min_contexts distinct surroundings can reveal it. For it,
-    ratio = log(N * n_both / (n_entity * n_term)) / log(N / n_entity) with counts of documents over the whole corpus."""
+    Only a term whose documents hold an entity in min_contexts distinct surroundings can reveal it, wherever in them it
+    stands. For it, ratio = log(N * n_both / (n_entity * n_term)) / log(N / n_entity), all with counts of whole documents."""
     found = saved(contexts(docs))
     total = docs.select(F.count("*").alias("n")).first()["n"]
     entities = found.groupBy("entity").agg(F.countDistinct("row").alias("n_entity"), F.countDistinct("context").alias("n_contexts"))
     entities = entities.where((F.col("n_contexts") >= min_contexts) & (F.col("n_entity") < total)).drop("n_contexts")
-    beside = found.select("row", "entity", "context", F.explode("terms").alias("term"))
+    entities = saved(entities)
+    beside = found.join(bounded(entities.select("entity")), "entity").select("row", "entity", "context", F.explode("words").alias("term"))
     both = beside.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("context").alias("n_contexts"))
     both = both.where(F.col("n_contexts") >= min_contexts).drop("n_contexts").join(entities, "entity")
 
@@ -118,7 +126,7 @@ def disclosing(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at:
         pmi = F.log(F.lit(float(total)) * F.least("n_both", n_term) / (F.col("n_entity") * F.col(n_term)))
         return pmi / F.log(F.lit(float(total)) / F.col("n_entity"))
 
-    # a term has at least the documents in which it stands beside any entity, so that its ratio is at most what they give
+    # a term has at least the documents in which it occurs with any of the entities, so that its ratio is at most what they give
     near = beside.groupBy("term").agg(F.countDistinct("row").alias("n_near"))
     both = saved(both.join(near, "term").where(ratio("n_near") >= generalise_at).drop("n_near"))
     occurring = docs.select("doc_id", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("term"))
