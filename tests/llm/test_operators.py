@@ -181,7 +181,7 @@ def test_vantage_point_trees_miss_no_pair():
 
 def test_suffix_tree_base(spark):
     rows = texts(spark) + [(10**6 + 3, "")]
-    got = {r.doc_id: r for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), p_min=1e-3).collect()}
+    got = {r.doc_id: r for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     tokens = {k: [*WORD.findall(t.translate(LOWER)), None] for k, t in rows}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
     counts = Counter(t for k, ts in tokens.items() if not held[k] for t in ts)
@@ -192,61 +192,78 @@ def test_suffix_tree_base(spark):
         assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts))
 
 
-def plain_tree(tokens, held, p_min):
-    """The same tree from dictionaries; returns log10 of the probability of a word after its context."""
-    training = [ts for k, ts in tokens.items() if not held[k]]
-    uni = Counter(t for ts in training for t in ts)
-    n, v = sum(uni.values()), len(uni)
-    least = max(suffix_tree.MIN_COUNT, p_min * n)
-    root = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-    states, below = {}, {(): root}
-    for length in (1, 2):
-        grams = Counter(tuple(ts[i : i + length + 1]) for ts in training for i in range(len(ts) - length))
-        contexts = Counter(tuple(ts[i : i + length]) for ts in training for i in range(len(ts) - length + 1))
-        lists = {}
-        for gram, c in grams.items():
-            if c >= least:
-                lists.setdefault(gram[:-1], {})[gram[-1]] = c
-        for context, nexts in lists.items():
-            total = contexts[context]
-            lower = states.get(context[1:])
-            under = lambda w, lower=lower: lower[0].get(w) or lower[1] * root(w) if lower else root(w)
-            if length == 2:  # the suffix's listed words only where the suffix is a state and lists the word
-                under = lambda w, lower=lower: lower[0][w] if lower and w in lower[0] else root(w)
-            rest = 1 - sum(max(c - suffix_tree.DISCOUNT, 0) for c in nexts.values()) / total
-            p = {w: max(c - suffix_tree.DISCOUNT, 0) / total + rest * under(w) for w, c in nexts.items()}
-            gain = sum(c * math.log(p[w] / under(w)) for w, c in nexts.items()) + (total - sum(nexts.values())) * math.log(max(rest, 1e-12))
-            if gain >= suffix_tree.MIN_GAIN:
-                states[context] = (p, max(rest, 1e-12))
-
-    def score(ts):
-        out = 0.0
-        for i, w in enumerate(ts):
-            value = math.log10(root(w))
-            for length in (1, 2):
-                state = states.get(tuple(ts[i - length : i])) if i >= length else None
-                if state:
-                    value = math.log10(state[0][w]) if w in state[0] else value + math.log10(state[1])
-            out += value
-        return out
+def plain_tree(texts, held, depth, min_gain):
+    """The same tree from dictionaries; returns log10 of the probability of a text, and the states."""
+    stream = lambda t: [*"".join(w + " " for w in WORD.findall(t.translate(LOWER))), "END"]
+    nexts = {}
+    for k, t in texts.items():
+        if not held[k]:
+            symbols = ["START"] * depth + stream(t)
+            for i in range(depth, len(symbols)):
+                for n in range(depth + 1):
+                    nexts.setdefault(tuple(symbols[i - n : i]), Counter())[symbols[i]] += 1
+    states = {()}
+
+    def p(context, x):
+        while context not in states:
+            context = context[1:]
+        own, total = nexts.get(context, Counter()), sum(nexts.get(context, Counter()).values())
+        under = p(context[1:], x) if context else 1 / 1114113
+        return (max(own[x] - suffix_tree.DISCOUNT, 0) + suffix_tree.DISCOUNT * len(own) * under) / total if total else under
+
+    for context in sorted(nexts, key=len):
+        if context:
+            states.add(context)
+            own = {x: (c, math.log(p(context, x))) for x, c in nexts[context].items()}
+            states.remove(context)
+            if sum(c * (q - math.log(p(context, x))) for x, (c, q) in own.items()) >= min_gain:
+                states.add(context)
+
+    def score(t):
+        symbols = ["START"] * depth + stream(t)
+        return sum(math.log10(p(tuple(symbols[i - depth : i]), symbols[i])) for i in range(depth, len(symbols)))
 
     return score, states
 
 
-def test_suffix_tree_scores(spark):
+@pytest.mark.parametrize(("depth", "common"), [(5, 0.02), (3, 1e-7), (6, 1.0)])
+def test_suffix_tree_scores(spark, depth, common):
     rng = random.Random(3)
-    phrase = "in no event shall the authors be liable for any claim".split()
-    turns = lambda: rng.choice(["p q r", "s q t"]).split()  # noqa: E731  what follows q depends on the word before it
-    rows = [(k, " ".join([rng.choice("abcdefgh") for _ in range(40)] + phrase + turns() + turns() + [rng.choice("abcdefgh") for _ in range(10)])) for k in range(120)] + [(500, ""), (501, "a"), (502, "zz yy xx")]
-    got = {r.doc_id: r for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), p_min=1e-4).collect()}
-    tokens = {k: [*WORD.findall(t), ""] for k, t in rows}
-    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
-    score, states = plain_tree(tokens, held, 1e-4)
-    assert {len(c) for c in states} == {1, 2}
-    for k, ts in tokens.items():
-        assert got[k].score == pytest.approx(score(ts)), k
-    gain = [got[k].score - got[k].base_score for k in tokens if held[k] and k < 500]
-    assert min(gain) > 5
+    phrase = "in no event shall THE authors be liable for any claim \U0001f600\x00 é".split()
+    rows = [(k, " \n".join([rng.choice("abcdefgh") for _ in range(40)] + phrase + [rng.choice("abcdefgh") for _ in range(10)])) for k in range(60)] + [(500, ""), (501, "a"), (502, "zz\x85yy xx"), (503, None), (504, "ab"), (505, " a\tb ")]
+    got = {r.doc_id: r for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth, common=common, min_gain=4.0).collect()}
+    texts = {k: t or "" for k, t in rows}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in texts}
+    score, states = plain_tree(texts, held, depth, 4.0)
+    assert {len(c) for c in states} == set(range(depth + 1))
+    for k, t in texts.items():
+        assert got[k].score == pytest.approx(score(t)), k
+    assert min(got[k].score - got[k].base_score for k in texts if held[k] and k < 500) > 5
+
+
+def test_suffix_tree_is_a_distribution(spark):
+    """The probabilities of all texts of one symbol more add up to that of their common beginning, so that scores are not too good."""
+    rows = [(k, t) for k, t in enumerate(["abab baba", "aab b", "bb ab a", "ab"] * 6)]
+    texts, held = dict(rows), {k: zlib.crc32(str(k).encode()) % 5 == 1 for k, _ in rows}
+    score, _ = plain_tree(texts, held, 3, 1.0)
+    every = sum(10 ** score("".join(w)) for n in range(1, 4) for w in itertools.product("abc", repeat=n)) + 10 ** score("")
+    assert 0 < every < 1
+
+
+def test_suffix_tree_takes_one_batch_of_long_texts():
+    """The worker cuts a batch by bytes, and cutting changes no count."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["Ab", "cde", "é", "f"], k=120_000)) for _ in range(60)] + ["", "x"]
+    batch = suffix_tree.pa.RecordBatch.from_pydict({"text": texts, "held_out": [k % 3 == 0 for k in range(62)]})
+    pieces = list(suffix_tree._pieces(iter([batch]), 5))
+    assert len(pieces) > 3 and sum(b.num_rows for b, _ in pieces) == 62 and max(len(p.symbols) for _, p in pieces) < 2 * suffix_tree.PIECE
+    counts = Counter()
+    for out in suffix_tree._counted(5)(iter([batch])):
+        for *run, n in zip(*[c.to_pylist() for c in out.columns], strict=True):
+            counts[tuple(run)] += n
+    words = Counter(w for k, t in enumerate(texts) if k % 3 for w in t.split())
+    assert sorted(n for (_, g1), n in counts.items() if g1 == -1) == sorted([words[w] for w in words])
+    assert sum(n for (_, g1), n in counts.items() if g1 >= 0) == sum(len(t) + 1 + bool(t) for k, t in enumerate(texts) if k % 3)
 
 
 def test_suffix_tree_keeps_rare_pairs(spark):
@@ -371,6 +388,7 @@ OPERATORS = {
     "deduplicated": lambda s, d: simhash.deduplicated(d).select("doc_id", "text"),
     "suffix_tree": lambda s, d: suffix_tree.scored(d),
     "toxicity": lambda s, d: toxicity.scored(d, toxicity.fit(d, s.createDataFrame([(1, 1, 0), (7, 1, 1), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int"))).select("doc_id", "score", "predicted"),
+    "urls": lambda s, d: urls.judge(d.withColumnRenamed("doc_id", "page_id").withColumn("url", F.concat(F.lit("http://A."), "source", F.lit(".com/"), "text")), s.createDataFrame([("b.com", "/", "block"), ("c.com", "/the", "block")], "host string, path string, verdict string")),
     "quality": lambda s, d: quality.classified(d, s.createDataFrame([(1, 1, 0), (6, 0, 0), (9, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")),
 }
 
@@ -418,6 +436,27 @@ def test_urls(spark):
     blocks, n = urls.bloom(keys)
     assert urls.possible(keys, blocks, n).count() == 3000
     assert urls.possible(spark.range(3000, 33000).select(F.concat(F.lit("k"), "id").alias("key")), blocks, n).count() < 600
+    assert urls.bloom(keys, 600) is None
+    blocks, n = urls.bloom(keys, 1500)
+    assert urls.possible(keys, blocks, n).count() == 3000
+
+
+def test_urls_of_a_long_list(spark):
+    """100,000 full URLs of some hundred lengths; every page is judged as the longest listed beginning says."""
+    rng = random.Random(9)
+    name = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    listed = {(f"{name(1)}.h{k % 7}.org", "/" + name(rng.randint(3, 6)) + "/" + "x" * (k % 300) + str(k)): rng.choice(["allow", "block"]) for k in range(100_000)}
+    listed |= {("h1.org", "/a"): "block", ("h1.org", "/ab"): "allow", ("a.h1.org", "/ab"): "block"}
+    some = rng.sample(sorted(listed), 300)
+    pages = [(k, f"http://{'sub.' * (k % 2)}{h}{p}{'/y' * (k % 3)}") for k, (h, p) in enumerate(some)] + [(1000 + k, f"http://{name(1)}.h1.org/{name(4)}") for k in range(300)]
+    by_host = {}
+    for (h, p), v in listed.items():
+        by_host.setdefault(h, []).append((p, v))
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(*k, v) for k, v in listed.items()], "host string, path string, verdict string"))
+    for r in got.collect():
+        parts = r.host.split(".")
+        fits = [(len(h) + len(p), len(h), h + p, v) for k in range(len(parts)) for h in [".".join(parts[k:])] for p, v in by_host.get(h, []) if r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
 
 
 def test_pipeline(spark, tmp_path):

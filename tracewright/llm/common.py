@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a build side up to which a broadcast is taken (tens of MB for the narrow rows here); beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a build side up to which it is broadcast; beyond them Spark shuffles both sides.
+BROADCAST_BYTES = 48 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,19 +54,47 @@ def indices(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast after counting that it has at most so many rows; df should be cheap to count or checkpointed."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _octets(df: DataFrame, name: str) -> Column:
+    """About the bytes of a column in a row: of nested ones as JSON, of others 8 or their own length."""
+    kind, value = dict(df.dtypes)[name], F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if kind.startswith(("array", "map", "struct")):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)) + 16
+    return F.lit(8)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder that the session names; a folder is set only where none is."""
-    sc = df.sparkSession.sparkContext
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df for broadcast after measuring that all its rows have at most so many bytes; df should be saved or cheap."""
+    each = sum((_octets(df, name) for name in df.columns), F.lit(8))
+    return F.broadcast(df) if (df.agg(F.sum(each.cast("long")).alias("n")).first()["n"] or 0) <= most else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what the session names in spark.checkpoint.dir. Only a local session, whose
+    executors are in the driver, may go without; then it is a new temporary one."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not (sc.master + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    named = named or tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage as saved() does, by a table of Parquet in the shared folder, which takes less room for many rows."""
+    df.write.parquet(out := f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with __row, a number of each row; saved, so that every use of it sees the same numbers."""
     return saved(df.withColumn("__row", F.monotonically_increasing_id()))

@@ -7,10 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import BROADCAST_ROWS, ascii_lower, bounded, saved, whole
+from tracewright.llm.common import BROADCAST_BYTES, ascii_lower, bounded, indices, saved, whole
 
-#: A block is 8 words of 32 bits, and a key sets one bit in each; 16 bits a key give about 0.1 % false hits.
-WORDS, WORD_BITS, BITS_PER_KEY = 8, 32, 16
+#: A block is 8 words of 64 bits, and a key sets one bit in each; 16 bits a key give about 0.1 % false hits. A row of the filter
+#: holds the words of so many blocks.
+WORDS, WORD_BITS, BITS_PER_KEY, PAGE = 8, 64, 16, 32
+#: With fewer bits a key the filter lets nearly everything pass, and the exact join goes without it.
+LEAST_BITS_PER_KEY = 2
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -20,30 +23,36 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(part(1)), part(2)
 
 
-def _block(key: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("long")
-
-
-def _masks(key: Column) -> list[Column]:
-    h = F.xxhash64(key, F.lit("bits"))
-    places = [F.shiftrightunsigned(h, 5 * k).bitwiseAND(F.lit(WORD_BITS - 1)).cast("int") for k in range(WORDS)]
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), place) for place in places]
-
-
-def bloom(keys: DataFrame) -> tuple[DataFrame, int]:
-    """The filter of the column key: a row per block that is not empty, with its words w0..w7, and the number of blocks."""
-    n_blocks = max(1, math.ceil(keys.count() * BITS_PER_KEY / (WORDS * WORD_BITS)))
-    bits = keys.select(_block(F.col("key"), n_blocks).alias("block"), *[m.alias(f"m{k}") for k, m in enumerate(_masks(F.col("key")))])
-    return bits.groupBy("block").agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(WORDS)]), n_blocks
-
-
-def possible(rows: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """The rows whose column key may be in the filter; none that is in it is lost."""
-    probe = rows.withColumn("block", _block(F.col("key"), n_blocks))
+def _places(key: Column, n_blocks: int) -> tuple[Column, list[Column], list[Column]]:
+    """Of a key: the page, the positions of its 8 words in the page, and the bit in each."""
+    block, h = F.pmod(F.xxhash64(key), F.lit(n_blocks)), F.xxhash64(key, F.lit("bits"))
+    at = [((block % PAGE) * WORDS + k).cast("int") for k in range(WORDS)]
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(WORD_BITS - 1)).cast("int")) for k in range(WORDS)]
+    return F.floor(block / PAGE).cast("long"), at, bits
+
+
+def bloom(keys: DataFrame, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, int] | None:
+    """The filter of the column key: rows of page and its words, and the number of blocks. It takes at most most_bytes, with
+    fewer bits a key for more keys; None where they would be too few."""
+    n = keys.count()
+    bits = min(BITS_PER_KEY, most_bytes * 8 / max(n, 1))
+    if bits < LEAST_BITS_PER_KEY:
+        return None
+    n_blocks = max(1, math.ceil(n * bits / (WORDS * WORD_BITS)))
+    page, at, bit = _places(F.col("key"), n_blocks)
+    each = keys.select(page.alias("page"), F.explode(F.array(*[F.struct(a.alias("at"), b.alias("bit")) for a, b in zip(at, bit, strict=True)])).alias("x"))
+    words = each.groupBy("page", F.col("x.at").alias("at")).agg(F.bit_or("x.bit").alias("word"))
+    own = words.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("of"))
+    return own.select("page", F.transform(indices(F.lit(PAGE * WORDS)), lambda k: F.coalesce(F.try_element_at("of", k), F.lit(0).cast("long"))).alias("words")), n_blocks
+
+
+def possible(rows: DataFrame, pages: DataFrame, n_blocks: int) -> DataFrame:
+    """The rows whose column key may be in the filter; none that is in it is lost. The filter's size is bounded by bloom()."""
+    page, at, bits = _places(F.col("key"), n_blocks)
     hit = F.lit(True)
-    for k, mask in enumerate(_masks(F.col("key"))):
-        hit &= F.col(f"w{k}").bitwiseAND(mask) == mask
-    return probe.join(bounded(blocks, BROADCAST_ROWS // 4), "block").where(hit).select(*rows.columns)
+    for a, b in zip(at, bits, strict=True):
+        hit &= F.get("words", a).bitwiseAND(b) != 0
+    return rows.withColumn("page", page).join(F.broadcast(pages), "page").where(hit).select(*rows.columns)
 
 
 def canonical(listed: DataFrame) -> DataFrame:
@@ -57,24 +66,26 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFr
     """page_id, host, path, rule and verdict of every page.
 
     A listed entry fits its host and all subdomains, and paths that start with its own; the longest that fits decides (by
-    host and path together, then by host). A url's keys are its host suffixes with its path prefixes, in the shapes (number
-    of labels, length of path) that the list has at all. Keys that pass the Bloom filter are joined with the list by the
-    exact key. Distinct urls are judged once, so that a url with many pages counts once; pages without a fitting entry, null
-    urls and urls without :// get no rule and the default verdict. A key listed twice counts once (allow before block).
-    Repeated pages keep a row each, columns of pages other than page_id and url are not read."""
+    host and path together, then by host). A url's keys are its host suffixes with its path prefixes, of the numbers of labels
+    and for each of those the lengths of path that the list has; a url has no more of them than characters of its path for
+    each suffix. Keys that pass the Bloom filter are joined with the list by the exact key. Distinct urls are judged once, so
+    that a url with many pages counts once; pages without a fitting entry, null urls and urls without :// get no rule and the
+    default verdict. A key listed twice counts once (allow before block). Repeated pages keep a row each, columns of pages
+    other than page_id and url are not read."""
     rules = saved(canonical(listed))
-    # One entry per pair of numbers, not per rule: a host has at most 127 labels and the path is a short prefix.
-    shapes = [(r.labels, r.path_len) for r in rules.select("labels", "path_len").distinct().collect()]
+    # at most 127 numbers of labels, and for each as many lengths as a path has characters
+    shapes = rules.groupBy("labels").agg(F.sort_array(F.collect_set("path_len")).alias("lengths")).collect()
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     urls = parts.where("host <> ''").groupBy("host", "path").agg(F.lit(1).alias("one")).drop("one")
     if not shapes:
         return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    labels = F.split("host", r"\.")
-    key = lambda n, m: F.when((F.size(labels) >= n) & (F.length("path") >= m), F.concat(F.substring_index("host", ".", -n), F.lit("\n"), F.substring("path", 1, m)))
-    keys = urls.select("host", "path", F.explode(F.array_compact(F.array(*[key(n, m) for n, m in shapes]))).alias("key"))
-    blocks, n_blocks = bloom(rules)
-    hits = possible(keys, blocks, n_blocks)
+    labels = F.size(F.split("host", r"\."))
+    prefixes = lambda suffix, lengths: F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda m: m <= F.length("path")), lambda m: F.concat(suffix, F.lit("\n"), F.substring("path", F.lit(1), m)))
+    of = [F.when(labels >= r.labels, prefixes(F.substring_index("host", ".", -r.labels), r.lengths)).otherwise(F.array().cast("array<string>")) for r in shapes]
+    hits = urls.select("host", "path", F.explode(F.concat(*of)).alias("key"))
+    if (filtered := bloom(rules)) is not None:
+        hits = possible(hits, saved(filtered[0]), filtered[1])
     exact = rules.select("key", F.length("key").alias("length"), F.length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "verdict")
     found = hits.join(bounded(exact), "key")
     best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("length", "host_length")).alias("best"))
