@@ -245,8 +245,8 @@ def scored(docs: DataFrame, held_out: int = HELD_OUT, depth: int = DEPTH, min_ga
     tables, rest = [], []
     for table, total in ((words, tree.tokens), (runs, tree.symbols)):
         is_common = n >= max(1.0, common * total)
-        listed = table.where(is_common).select("key", "value").toPandas().sort_values("key")
-        tables.append((listed["key"].to_numpy(np.int64), listed["value"].to_numpy(np.float64)))
+        listed = table.where(is_common).select("key", "value").toArrow().sort_by("key")
+        tables.append(tuple(listed[c].to_numpy() for c in ("key", "value")))
         rest.append(table.where(~is_common).select("key", "word", "value"))
     shared = docs.sparkSession.sparkContext.broadcast(tables)
     kind = docs.schema["doc_id"].dataType.simpleString()
