@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import cases
-from tracewright.llm import decontamination, mixing, pii, quality, rules, secret_scan, simhash, suffix_tree, toxicity, urls
+from tracewright.llm import blooms, decontamination, mixing, pii, quality, rules, secret_scan, simhash, suffix_tree, toxicity, urls
 from tracewright.llm import queries as registered
 
 SF = "/root/testdata/sf0.001"
@@ -67,31 +67,84 @@ def test_pii_base(spark):
 
 
 def test_pii_terms(spark):
-    """A nickname that stands only beside one address gives it away; a common word beside it does not."""
+    """A nickname that is found with one address only gives it away; a common word beside it does not."""
     rng = random.Random(1)
     noise = lambda: " ".join(rng.choice(["red", "green", "blue", "grey", "pink", "plain"]) for _ in range(30))
     rows = [(k, f"{noise()} please write Zaphod ann@corp.org again {noise()}") for k in range(6)] + [(100 + k, f"{noise()} please again {noise()}") for k in range(60)]
     rows += [(200, f"{noise()} zaphod said so {noise()}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    terms, _ = pii.disclosing(docs)
-    found = {r.term: r.ratio for r in terms.collect()}
+    found = {r.term: r.disclosure for r in pii.disclosing(docs)[0].collect()}
     assert set(found) == {"zaphod", "write"}
-    assert found["zaphod"] == pytest.approx(math.log(67 * 6 / (6 * 7)) / math.log(67 / 6))
+    assert found["zaphod"] == pytest.approx(math.log(67 * 6 / (6 * 7)) / math.log(67 / 6) * 12 / 13)
     out = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
-    assert "ann@corp.org" not in out[0] and "Zaphod" not in out[0] and "<email>" in out[0] and "<name>" in out[0]
+    assert "ann@corp.org" not in out[0] and "Zaphod" not in out[0] and "<email>" in out[0] and " write" not in out[0]
     assert out[100] == dict(rows)[100] and "zaphod" not in out[200]
 
 
 def test_pii_terms_far_from_the_entity(spark):
     """Terms count by whole documents: one that never stands near its entity gives it away as well."""
     rng = random.Random(3)
-    noise = lambda: " ".join(rng.choice(["red", "green", "blue", "grey", "pink", "plain"]) for _ in range(40))
+    noise = lambda: " ".join(rng.choice("red green blue grey pink plain teal ochre mauve umber coral olive".split()) for _ in range(40))
     rows = [(k, f"Zaphod {noise()} mail ann@corp.org {noise()}") for k in range(6)] + [(100 + k, f"{noise()} mail {noise()}") for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.term: r.ratio for r in pii.disclosing(docs)[0].collect()} == {"zaphod": pytest.approx(1.0)}
+    assert {r.term: r.disclosure for r in pii.disclosing(docs)[0].collect()} == {"zaphod": pytest.approx(6 / 7)}
     assert "Zaphod" not in {r.doc_id: r.text for r in pii.sanitised(docs).collect()}[0]
 
 
+def test_pii_copies_are_no_evidence(spark):
+    rng = random.Random(3)
+    noise = [" ".join(rng.choice(["red", "green", "blue", "grey", "pink", "plain"]) for _ in range(40)) for _ in range(100)]
+    rows = [(k, f"Zaphod {noise[0]} mail ann@corp.org {noise[1]}") for k in range(6)] + [(100 + k, f"{x} mail") for k, x in enumerate(noise)]
+    assert not pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
+    rows = [(k, t.replace(" mail", " Ford mail")) for k, t in rows]
+    assert not pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
+    rows = [(k, t.replace(" Ford mail", " Trillian mail") if k < 100 else t) for k, t in rows]
+    assert {r.term: (r.disclosure, r.action) for r in pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()} == {"trillian": (pytest.approx(2 / 3), "generalise")}
+
+
+def plain_terms(texts):
+    """By term its action, from dictionaries; texts: one for each document."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_+", t.lower()) if w]
+    docs, every = [], Counter()
+    for t in texts:
+        spans = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in plain_spans(t)))
+        every.update(set(words(t)))
+        outside, at, around = "", 0, {}
+        for a, b, kind in spans:
+            value = re.sub("[^0-9]", "", t[a:b]) if kind in ("card", "phone") else t[a:b].lower()
+            left, right = words(t[max(0, a - 120) : a]), words(t[b : b + 120])
+            left, right = left[1:] if a > 120 else left, right[:-1] if len(t) > b + 120 else right
+            around.setdefault((kind, value), set()).add(frozenset(left[-5:] + right[:5]))
+            outside, at = outside + t[at : max(at, a)] + " ", max(at, b)
+        docs.append((around, {w for w in words(outside + t[at:]) if len(w) >= 3}))
+    out, held = {}, {}
+    for around, own in docs:
+        for e, c in around.items():
+            held.setdefault(e, []).append((frozenset(c), own))
+    for rows in held.values():
+        for term in set().union(*(own for _, own in rows)) if len(rows) < len(texts) else ():
+            both = [c for c, own in rows if term in own]
+            evidence = len(set(both)) + len({c for c in both if term in set().union(*c)})
+            ratio = math.log(len(texts) * min(len(both), every[term]) / (len(rows) * every[term])) / math.log(len(texts) / len(rows))
+            out[term] = max(out.get(term, 0), ratio * evidence / (evidence + 1))
+    return {t: "remove" if d >= pii.REMOVE_AT else "generalise" for t, d in out.items() if d >= pii.GENERALISE_AT}
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_pii_spans_of_whole_tables(spark, size):
+    """All spans, also those that the method adds, against dictionaries; it does add some."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', size)}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    acts, n_terms = plain_terms(list(texts.values())), 0
+    for r in pii.digest(docs).collect():
+        base = plain_spans(texts[r.doc_id])
+        inside = [tuple(map(int, s.split(":")[1:])) for s in base]
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W_]+", texts[r.doc_id]) if m.group().lower() in acts and not any(a < m.end() and m.start() < b for a, b in inside)]
+        assert r.spans == ",".join(base + terms), r.doc_id
+        n_terms += len(terms)
+    assert size == "0.001" or n_terms > 20
+
+
 # SimHash
 
 
@@ -433,12 +486,12 @@ def test_urls(spark):
     assert got == [(1, "www.example.com/en/", "allow"), (2, "net/fr/", "block"), (3, None, "allow"), (4, None, "allow"), (5, None, "allow"), (5, None, "allow"), (6, None, "allow"), (7, "example.com/en/", "block")]
     assert urls.judge(pages.limit(0), listed).count() == 0 and urls.judge(pages, listed.limit(0)).where("rule IS NOT NULL").count() == 0
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
-    blocks, n = urls.bloom(keys)
-    assert urls.possible(keys, blocks, n).count() == 3000
-    assert urls.possible(spark.range(3000, 33000).select(F.concat(F.lit("k"), "id").alias("key")), blocks, n).count() < 600
-    assert urls.bloom(keys, 600) is None
-    blocks, n = urls.bloom(keys, 1500)
-    assert urls.possible(keys, blocks, n).count() == 3000
+    blocks, n = blooms.bloom(keys, "key")
+    assert blooms.possible(keys, "key", blocks, n).count() == 3000
+    assert blooms.possible(spark.range(3000, 33000).select(F.concat(F.lit("k"), "id").alias("key")), "key", blocks, n).count() < 600
+    assert blooms.bloom(keys, "key", 600) is None
+    blocks, n = blooms.bloom(keys, "key", 1500)
+    assert blooms.possible(keys, "key", blocks, n).count() == 3000
 
 
 def test_urls_of_a_long_list(spark):

@@ -64,10 +64,15 @@ def _octets(df: DataFrame, name: str) -> Column:
     return F.lit(8)
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks df for broadcast after measuring that all its rows have at most so many bytes; df should be saved or cheap."""
+def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of df have at most so many bytes; df should be saved or cheap."""
     each = sum((_octets(df, name) for name in df.columns), F.lit(8))
-    return F.broadcast(df) if (df.agg(F.sum(each.cast("long")).alias("n")).first()["n"] or 0) <= most else df
+    return (df.agg(F.sum(each.cast("long")).alias("n")).first()["n"] or 0) <= most
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df for broadcast after measuring that it fits."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.llm.blooms import listed_only
 from tracewright.llm.common import bounded, indices, numbered, saved, whole
 
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -49,6 +50,10 @@ def sketches(shingles: DataFrame, containment: float = CONTAINMENT) -> DataFrame
     return shingles.withColumn("__k", least).where(F.col("__k") <= keep).select("item_id", "width", "h")
 
 
+def _both(width: str, h: str) -> Column:
+    return F.xxhash64(h, width).alias("both")
+
+
 def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found, containment of every document that has the share of an item's shingles.
 
@@ -60,12 +65,12 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contain
     if not widths:
         widths = [shingle]
     sketch = saved(sketches(shingles, containment))
-    keys = sketch.select("width", "h").distinct()
+    keys = saved(sketch.select(_both("width", "h")).distinct())
     sampled = docs.select("doc_id", plain_words(F.col("text")).alias("w"))
     rows = sampled.select("doc_id", F.explode(_hashes(F.col("w"), widths[0])).alias("h")).withColumn("width", F.lit(widths[0]))
     for width in widths[1:]:
         rows = rows.unionByName(sampled.select("doc_id", F.explode(_hashes(F.col("w"), width)).alias("h")).withColumn("width", F.lit(width)))
-    hits = rows.join(bounded(keys), ["width", "h"], "left_semi").distinct()
+    hits = listed_only(rows.withColumn("both", _both("width", "h")), keys, "both").drop("both").distinct()
     pairs = saved(hits.join(bounded(sketch), ["width", "h"]).select("doc_id", "item_id").distinct())
     wanted = pairs.select(F.col("doc_id").alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")

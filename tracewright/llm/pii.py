@@ -1,8 +1,10 @@
 """Information-theoretic sanitisation of personal data.
 
-Patterns find the protected entities themselves. Corpus statistics then find the terms that give an entity away: the
-pointwise mutual information of a term and an entity, over the entity's own information, is 1 where the term occurs with
-nothing else, and 0 where it tells nothing.
+Patterns find the protected entities themselves. Corpus statistics then find the terms that give an entity away. The pointwise
+mutual information of a term and an entity, over the entity's own information, is 1 where the term occurs with nothing else, and
+0 where it tells nothing. It is shrunk by how much evidence there is: with evidence e, a pair keeps e / (e + 1) of it. Each distinct
+surroundings of the entity in the documents that hold both is evidence, and one more where the term itself stands beside the
+entity. Copies of a passage are one surroundings, so that their number is no evidence.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import bounded, saved, whole
+from tracewright.llm.blooms import listed_only
+from tracewright.llm.common import bounded, saved, stored, whole
 from tracewright.llm.decontamination import plain_words
 from tracewright.llm.spans import matches
 
@@ -26,9 +29,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-GUARDS = {"email": "@", "ip": ".", "phone": "+"}
-WINDOW_WORDS, WINDOW_CHARS, MIN_CONTEXTS = 5, 120, 3
-GENERALISE_AT, REMOVE_AT = 0.8, 0.95
+#: What a text with a match must have, cheaper to look for than the pattern.
+GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "[+][0-9]"}
+WINDOW_WORDS, WINDOW_CHARS = 5, 120
+#: Disclosure, after shrinking, from which on a term is generalised or removed. With a term that is found with little else,
+#: standing beside the entity once or being in two documents of its own surroundings suffices for the first.
+GENERALISE_AT, REMOVE_AT = 0.6, 0.75
 
 
 def _digits(v: Column) -> Column:
@@ -61,7 +67,7 @@ def _listed(kind: str, span: Column) -> Column:
 
 
 def _of_kind(kind: str, span: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), span["value"].alias("value"))
+    return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.lit(kind).alias("kind"), span["value"].alias("value"))
 
 
 def _placeholder(kind: str, span: Column) -> Column:
@@ -73,85 +79,95 @@ def base_spans(text: Column) -> dict[str, Column]:
     out = {}
     for kind in KINDS:
         found = F.filter(matches(text, PATTERNS[kind]), partial(_is_valid, kind))
-        out[kind] = F.when(F.contains(text, F.lit(GUARDS[kind])) if kind in GUARDS else F.regexp_like(text, F.lit("[0-9]")), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+        out[kind] = F.when(F.regexp_like(text, F.lit(GUARDS[kind])), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
     return out
 
 
 def _with_spans(docs: DataFrame, *keep: str) -> DataFrame:
     rows = docs.select(*keep, whole(F.col("text")).alias("__text"))
-    return rows.select("*", *[c.alias(f"__{kind}") for kind, c in base_spans(F.col("__text")).items()])
+    return rows.select("*", F.xxhash64("__text").alias("__hash"), *[c.alias(f"__{kind}") for kind, c in base_spans(F.col("__text")).items()])
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """row, entity, context, terms, words: each protected entity of each document (row) with its surroundings, and the
-    distinct words of the document outside of all entities.
-
-    An entity is a kind with the lower-cased value, digits only for numbers. Its surroundings are the nearest words on
-    either side; copies of a document share them and so count as one context."""
-    rows = _with_spans(docs.withColumn("__row", F.monotonically_increasing_id()), "__row")
-    spans = F.concat(*[F.transform(f"__{k}", partial(_of_kind, k)) for k in KINDS])
-    rows = rows.select("__row", "__text", F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))).alias("all")).where(F.size("all") > 0)
-    text = F.col("__text")
-    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0))), F.lit(" ")).alias("out"))
-    outside = F.aggregate("all", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    words = F.filter(F.array_distinct(plain_words(outside)), lambda w: F.length(w) >= 3)
-    each = rows.select("__row", "__text", words.alias("words"), F.explode("all").alias("s"))
-    value = F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    first = F.greatest(F.col("s.start") - WINDOW_CHARS, F.lit(0))
-    left, right = plain_words(F.substring("__text", first + 1, F.col("s.start") - first)), plain_words(F.substring("__text", F.col("s.end") + 1, F.lit(WINDOW_CHARS)))
+def _nearest(text: Column, span: Column) -> Column:
+    """The nearest words on either side of a span, none that may be cut."""
+    first = F.greatest(span["start"] - WINDOW_CHARS, F.lit(0))
+    left, right = plain_words(F.substring(text, first + 1, span["start"] - first)), plain_words(F.substring(text, span["end"] + 1, F.lit(WINDOW_CHARS)))
     near_left = F.slice(F.reverse(F.when(first > 0, F.slice(left, 2, F.lit(WINDOW_CHARS))).otherwise(left)), 1, WINDOW_WORDS)
-    cut = F.length("__text") > F.col("s.end") + WINDOW_CHARS
+    cut = F.length(text) > span["end"] + WINDOW_CHARS
     near_right = F.slice(F.when(cut, F.slice(right, F.lit(1), F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right), 1, WINDOW_WORDS)
-    terms = F.filter(F.array_distinct(F.concat(near_left, near_right)), lambda w: F.length(w) >= 3)
-    sorted_terms = F.array_sort(terms)
-    return each.select(F.col("__row").alias("row"), F.concat_ws(":", "s.kind", value).alias("entity"), F.xxhash64(F.array_join(sorted_terms, " ")).alias("context"), sorted_terms.alias("terms"), "words")
-
-
-def disclosing(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, min_contexts: int = MIN_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """The terms that reveal an entity (term, ratio, action) and where they occur (doc_id, term).
-
-    Only a term whose documents hold an entity in min_contexts distinct surroundings can reveal it, wherever in them it
-    stands. For it, ratio = log(N * n_both / (n_entity * n_term)) / log(N / n_entity), all with counts of whole documents."""
-    found = saved(contexts(docs))
-    total = docs.select(F.count("*").alias("n")).first()["n"]
-    entities = found.groupBy("entity").agg(F.countDistinct("row").alias("n_entity"), F.countDistinct("context").alias("n_contexts"))
-    entities = entities.where((F.col("n_contexts") >= min_contexts) & (F.col("n_entity") < total)).drop("n_contexts")
-    entities = saved(entities)
-    beside = found.join(bounded(entities.select("entity")), "entity").select("row", "entity", "context", F.explode("words").alias("term"))
-    both = beside.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("context").alias("n_contexts"))
-    both = both.where(F.col("n_contexts") >= min_contexts).drop("n_contexts").join(entities, "entity")
-
-    def ratio(n_term: str):
-        pmi = F.log(F.lit(float(total)) * F.least("n_both", n_term) / (F.col("n_entity") * F.col(n_term)))
-        return pmi / F.log(F.lit(float(total)) / F.col("n_entity"))
+    return F.array_sort(F.array_distinct(F.concat(near_left, near_right)))
 
-    # a term has at least the documents in which it occurs with any of the entities, so that its ratio is at most what they give
-    near = beside.groupBy("term").agg(F.countDistinct("row").alias("n_near"))
-    both = saved(both.join(near, "term").where(ratio("n_near") >= generalise_at).drop("n_near"))
-    occurring = docs.select("doc_id", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("term"))
-    # counted for all words before the join, whose rows then follow the terms and not their occurrences
-    n_term = occurring.groupBy("term").agg(F.count("*").alias("n_term"))
-    rated = n_term.join(bounded(both), "term").withColumn("ratio", ratio("n_term"))
-    terms = rated.groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= generalise_at)
-    terms = saved(terms.withColumn("action", F.when(F.col("ratio") >= remove_at, "remove").otherwise("generalise")))
-    return terms, saved(occurring.join(bounded(terms.select("term")), "term", "left_semi"))
+
+def contexts(docs: DataFrame) -> DataFrame:
+    """doc_id, hash (of the text), entities and words of each document that holds an entity; documents that agree in doc_id and
+    text are one. entities: each entity with the words beside it; an entity is a kind with the lower-cased value, digits only
+    for numbers. words: the distinct words of three letters or more outside of all entities."""
+    rows = _with_spans(docs, "doc_id").where(" OR ".join(f"size(__{k}) > 0" for k in KINDS)).dropDuplicates(["doc_id", "__hash"])
+    spans = F.array_sort(F.concat(*[F.transform(f"__{k}", partial(_of_kind, k)) for k in KINDS]))
+    text, begin = F.col("__text"), F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    step = lambda acc, s: F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0))), F.lit(" ")).alias("out"))
+    outside = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    value = lambda s: F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"]))
+    entities = F.transform(spans, lambda s: F.struct(F.concat_ws(":", s["kind"], value(s)).alias("entity"), _nearest(text, s).alias("near")))
+    return rows.select("doc_id", F.col("__hash").alias("hash"), entities.alias("entities"), F.filter(F.array_distinct(plain_words(outside)), lambda w: F.length(w) >= 3).alias("words"))
+
+
+def disclosing(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> tuple[DataFrame, DataFrame]:
+    """The terms that reveal an entity (term, disclosure, action) and the documents that hold them (doc_id, hash, term).
+
+    disclosure = ratio * e / (e + 1), where ratio = log(N * n_both / (n_entity * n_term)) / log(N / n_entity) with counts of whole
+    documents, and e is the number of distinct surroundings of the entity in the documents that hold both, each counted twice
+    where the term is in it. Pairs that cannot reach the threshold are left out by exact bounds, before the corpus is read for
+    its terms: the ratio is at most 1, and a term has at least the documents in which it is found with any entity."""
+    found = stored(contexts(docs))
+    total = docs.select("doc_id", F.xxhash64(whole(F.col("text"))).alias("hash")).distinct().count()
+    least = generalise_at / (1 - generalise_at) - 1e-9 if generalise_at < 1 else float("inf")
+    # of a document and an entity one row: all its surroundings there are one
+    each = found.select("doc_id", "hash", F.explode("entities").alias("e")).groupBy("doc_id", "hash", F.col("e.entity").alias("entity"))
+    own = each.agg(F.array_sort(F.collect_set("e.near")).alias("nears"))
+    own = stored(own.select("doc_id", "hash", "entity", F.xxhash64("nears").alias("context"), F.array_distinct(F.flatten("nears")).alias("near")))
+    entities = own.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_contexts"))
+    entities = saved(entities.where((2 * F.col("n_contexts") >= least) & (F.col("n_entity") < total)))
+    words = found.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "words")
+    held = own.join(bounded(entities), "entity").join(words, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")))
+    # where an entity has too few surroundings, only the terms beside it can have evidence enough
+    asked = F.when(F.col("n_contexts") >= least, F.col("words")).otherwise(F.array_intersect("near", "words"))
+    held = held.select("entity", "context", "n_entity", "n_contexts", "near", F.explode(asked).alias("term")).withColumn("near", F.array_contains("near", F.col("term")).cast("long"))
+
+    def disclosure(n_term: str, e: Column) -> Column:
+        pmi = F.log(F.lit(float(total)) * F.least("n_both", n_term) / (F.col("n_entity") * F.col(n_term)))
+        return pmi / F.log(F.lit(float(total)) / F.col("n_entity")) * e / (e + 1)
+
+    both = held.groupBy("entity", "term", "n_entity", "n_contexts").agg(F.count("*").alias("n_both"), F.sum("near").alias("n_beside"))
+    near = found.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    most = F.least("n_both", "n_contexts") + F.least("n_beside", "n_contexts")
+    both = saved(both.join(near, "term").where((most >= least) & (disclosure("n_near", most) >= generalise_at)).drop("n_contexts", "n_beside"))
+    # the surroundings are counted for those pairs only that could reach the threshold
+    seen = held.join(bounded(both.select("entity", "term")), ["entity", "term"], "left_semi").groupBy("entity", "term", "context").agg(F.max("near").alias("near"))
+    seen = seen.groupBy("entity", "term").agg((F.count("*") + F.sum("near")).alias("e"))
+    both = saved(both.join(seen, ["entity", "term"]).where(disclosure("n_near", F.col("e")) >= generalise_at).select("entity", "term", "n_entity", "n_both", "e"))
+    here = docs.select("doc_id", whole(F.col("text")).alias("text")).select("doc_id", F.xxhash64("text").alias("hash"), F.explode(F.array_distinct(plain_words(F.col("text")))).alias("term"))
+    occurring = stored(listed_only(here, saved(both.select("term").distinct()), "term").distinct())
+    rated = both.join(occurring.groupBy("term").agg(F.count("*").alias("n_term")), "term")
+    terms = rated.groupBy("term").agg(F.max(disclosure("n_term", F.col("e"))).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
+    terms = saved(terms.withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")))
+    return terms, occurring.join(bounded(terms.select("term")), "term", "left_semi")
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
-    """docs with the columns __text, __email, __ip, __card, __phone and __term (spans of what is to be replaced).
+    """docs with the columns __text, __hash, __email, __ip, __card, __phone and __term (spans of what is to be replaced).
 
-    A null text is an empty one and has no spans. Rows with the same doc_id share the terms found in any of them; other
-    columns stay as they are."""
+    A null text is an empty one and has no spans. Documents that agree in doc_id and text count once; other columns stay as they
+    are."""
     terms, where = disclosing(docs, **options)
-    acts = F.struct(F.col("term"), F.col("action"))
-    per_doc = saved(where.join(bounded(terms), "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(acts)).alias("__acts")).withColumnRenamed("doc_id", "__id"))
-    rows = _with_spans(docs, *docs.columns).join(bounded(per_doc), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    acts = F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("__acts")
+    acts = saved(where.join(bounded(terms), "term").groupBy("doc_id", "hash").agg(acts)).withColumnsRenamed({"doc_id": "__id", "hash": "__h"})
+    rows = _with_spans(docs, *docs.columns).join(bounded(acts), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
     inside = lambda s: F.exists(F.concat(*[F.col(f"__{k}") for k in KINDS]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     tokens = F.filter(matches(F.col("__text"), r"[\p{L}\p{N}]+"), lambda s: F.map_contains_key(F.col("__acts"), F.lower(s["value"])) & ~inside(s))
-    acted = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.get(F.map_values(F.map_filter("__acts", lambda k, v: k == F.lower(s["value"]))), F.lit(0)).alias("action")))
+    acted = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.try_element_at(F.col("__acts"), F.lower(s["value"])).alias("action")))
     none = F.array().cast("array<struct<start:int,end:int,value:string,action:string>>")
-    return rows.withColumn("__term", F.when(F.col("__acts").isNotNull(), acted).otherwise(none)).drop("__id", "__acts")
+    return rows.withColumn("__term", F.when(F.col("__acts").isNotNull(), acted).otherwise(none)).drop("__id", "__h", "__acts")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

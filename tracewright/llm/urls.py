@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import BROADCAST_BYTES, ascii_lower, bounded, indices, saved, whole
-
-#: A block is 8 words of 64 bits, and a key sets one bit in each; 16 bits a key give about 0.1 % false hits. A row of the filter
-#: holds the words of so many blocks.
-WORDS, WORD_BITS, BITS_PER_KEY, PAGE = 8, 64, 16, 32
-#: With fewer bits a key the filter lets nearly everything pass, and the exact join goes without it.
-LEAST_BITS_PER_KEY = 2
-
+from tracewright.llm.blooms import bloom, possible
+from tracewright.llm.common import ascii_lower, bounded, saved, whole
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to / ? # or the end, A-Z lower-cased; path: from there up to ? or #. Both are empty for a
@@ -23,38 +15,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(part(1)), part(2)
 
 
-def _places(key: Column, n_blocks: int) -> tuple[Column, list[Column], list[Column]]:
-    """Of a key: the page, the positions of its 8 words in the page, and the bit in each."""
-    block, h = F.pmod(F.xxhash64(key), F.lit(n_blocks)), F.xxhash64(key, F.lit("bits"))
-    at = [((block % PAGE) * WORDS + k).cast("int") for k in range(WORDS)]
-    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(WORD_BITS - 1)).cast("int")) for k in range(WORDS)]
-    return F.floor(block / PAGE).cast("long"), at, bits
-
-
-def bloom(keys: DataFrame, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, int] | None:
-    """The filter of the column key: rows of page and its words, and the number of blocks. It takes at most most_bytes, with
-    fewer bits a key for more keys; None where they would be too few."""
-    n = keys.count()
-    bits = min(BITS_PER_KEY, most_bytes * 8 / max(n, 1))
-    if bits < LEAST_BITS_PER_KEY:
-        return None
-    n_blocks = max(1, math.ceil(n * bits / (WORDS * WORD_BITS)))
-    page, at, bit = _places(F.col("key"), n_blocks)
-    each = keys.select(page.alias("page"), F.explode(F.array(*[F.struct(a.alias("at"), b.alias("bit")) for a, b in zip(at, bit, strict=True)])).alias("x"))
-    words = each.groupBy("page", F.col("x.at").alias("at")).agg(F.bit_or("x.bit").alias("word"))
-    own = words.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("of"))
-    return own.select("page", F.transform(indices(F.lit(PAGE * WORDS)), lambda k: F.coalesce(F.try_element_at("of", k), F.lit(0).cast("long"))).alias("words")), n_blocks
-
-
-def possible(rows: DataFrame, pages: DataFrame, n_blocks: int) -> DataFrame:
-    """The rows whose column key may be in the filter; none that is in it is lost. The filter's size is bounded by bloom()."""
-    page, at, bits = _places(F.col("key"), n_blocks)
-    hit = F.lit(True)
-    for a, b in zip(at, bits, strict=True):
-        hit &= F.get("words", a).bitwiseAND(b) != 0
-    return rows.withColumn("page", page).join(F.broadcast(pages), "page").where(hit).select(*rows.columns)
-
-
 def canonical(listed: DataFrame) -> DataFrame:
     """listed: host, path, verdict. Adds labels (of the host), path_len and the key; rows without a host are no rules."""
     rows = listed.select(ascii_lower(F.col("host")).alias("host"), whole(F.col("path")).alias("path"), "verdict").where(F.col("host") != "")
@@ -84,8 +44,8 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFr
     prefixes = lambda suffix, lengths: F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda m: m <= F.length("path")), lambda m: F.concat(suffix, F.lit("\n"), F.substring("path", F.lit(1), m)))
     of = [F.when(labels >= r.labels, prefixes(F.substring_index("host", ".", -r.labels), r.lengths)).otherwise(F.array().cast("array<string>")) for r in shapes]
     hits = urls.select("host", "path", F.explode(F.concat(*of)).alias("key"))
-    if (filtered := bloom(rules)) is not None:
-        hits = possible(hits, saved(filtered[0]), filtered[1])
+    if (filtered := bloom(rules, "key")) is not None:
+        hits = possible(hits, "key", saved(filtered[0]), filtered[1])
     exact = rules.select("key", F.length("key").alias("length"), F.length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "verdict")
     found = hits.join(bounded(exact), "key")
     best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("length", "host_length")).alias("best"))
