@@ -32,9 +32,9 @@ PATTERNS = {
 #: What a text with a match must have, cheaper to look for than the pattern.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "[+][0-9]"}
 WINDOW_WORDS, WINDOW_CHARS = 5, 120
-#: Disclosure, after shrinking, from which on a term is generalised or removed. With a term that is found with little else,
-#: standing beside the entity once or being in two documents of its own surroundings suffices for the first.
-GENERALISE_AT, REMOVE_AT = 0.6, 0.75
+#: Disclosure, after shrinking, from which on a term is generalised or removed. For a term that is found with
+#: nothing else, standing beside the entity once or being in two documents of its own surroundings suffices for the first.
+GENERALISE_AT, REMOVE_AT = 0.66, 0.75
 
 
 def _digits(v: Column) -> Column:
@@ -147,11 +147,12 @@ def disclosing(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at:
     seen = seen.groupBy("entity", "term").agg((F.count("*") + F.sum("near")).alias("e"))
     both = saved(both.join(seen, ["entity", "term"]).where(disclosure("n_near", F.col("e")) >= generalise_at).select("entity", "term", "n_entity", "n_both", "e"))
     here = docs.select("doc_id", whole(F.col("text")).alias("text")).select("doc_id", F.xxhash64("text").alias("hash"), F.explode(F.array_distinct(plain_words(F.col("text")))).alias("term"))
-    occurring = stored(listed_only(here, saved(both.select("term").distinct()), "term").distinct())
-    rated = both.join(occurring.groupBy("term").agg(F.count("*").alias("n_term")), "term")
+    # all words are counted before the join, whose rows then follow the terms and not their occurrences
+    n_term = here.groupBy("term").agg(F.count("*").alias("n_term"))
+    rated = n_term.join(bounded(both), "term")
     terms = rated.groupBy("term").agg(F.max(disclosure("n_term", F.col("e"))).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
     terms = saved(terms.withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")))
-    return terms, occurring.join(bounded(terms.select("term")), "term", "left_semi")
+    return terms, stored(listed_only(here, terms, "term").distinct())
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
