@@ -1,15 +1,16 @@
 """Toxicity scores of deobfuscated text.
 
-A noisy-channel decoder restores disguised tokens: the lattice of a token has, for each character, what it may stand for
-(itself, a letter that it looks like, nothing for a separator, one or two of a run), and Viterbi picks the path that a
-character bigram model of the corpus finds most likely. Restored tokens are scored by the words and stems that labelled
-documents have shown to go with toxicity.
+A noisy-channel decoder restores disguised tokens: the lattice of a token has, for each character, what it may stand for (itself,
+a letter that it looks like, one or two of a run, nothing or the end of a word for a separator), and Viterbi picks the path that
+a character bigram model of the corpus finds most likely. Restored tokens are scored by the words and stems that labelled
+documents have shown to go with toxicity. Tokens are decoded in full, at any length.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,15 +23,18 @@ from tracewright.llm.common import fold, saved, whole
 
 #: What characters may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "а": "a", "е": "e", "о": "o", "і": "i", "с": "c", "р": "p"}
-SEPARATORS = " .-_*'~"
+SEPARATORS = " .-_*'~/\\:,;"
+#: What is not seen and only parts letters.
+UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 TOKEN = re.compile(r"[\w@$!|+(€]+")
-SPACED = re.compile(r"(?<![\w@$!|+])[\w@$!|+](?:[ .\-_*~]{1,2}[\w@$!|+]){2,23}(?![\w@$!|+])")
+SPACED = re.compile(r"(?<![\w@$!|+])[\w@$!|+](?:[ .\-_*~/\\:,;]{1,2}[\w@$!|+]){2,}(?![\w@$!|+])")
 PARTED = re.compile(r"\w+(?:[.\-_*'~]{1,2}[\w@$!|+]+)+")
-DISGUISED = re.compile(r"[\d@$!|+(€][^\W\d_]|[^\W\d_][\d@$!|+(€]+[^\W\d_]|(.)\1\1|[^\W\d_][\d@$!|+(€]$|[аеоіср]")
-PARTS = re.compile(r"\w[ .\-_*'~]+[\w@$!|+]")
+DISGUISED = re.compile(r"[\d@$!|+(€][^\W\d_]|[^\W\d_][\d@$!|+(€]+[^\W\d_]|(.)\1\1|(?:(.)\2(.)\3(.)\4)|vv|[^\W\d_][\d@$!|+(€]$|[аеоіср]")
+PARTS = re.compile(r"\w[ .\-_*'~/\\:,;]+[\w@$!|+]")
 LETTERS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-#: Labelled rows of each class that are used; characters of a token that is decoded; features that are kept; entries of a worker's memory.
-SAMPLE_ROWS, MOST_TOKEN, MOST_FEATURES, MEMORY = 6_000, 32, 20_000, 300_000
+#: Labelled rows of each class that are used; entries of a worker's memory, and the longest token in it; the share of all pairs
+#: of letters that a pair of the model has, which bounds them by its inverse.
+SAMPLE_ROWS, MEMORY, REMEMBERED, PAIR_SHARE = 6_000, 300_000, 64, 1e-6
 #: Toxic documents that a feature needs, at least and as a share of those in the sample, and its log ratio against
 #: the others less so many standard errors.
 MIN_TOXIC, MIN_TOXIC_SHARE, MIN_WEIGHT, CAUTION = 3, 0.002, 2.0, 1.5
@@ -42,13 +46,20 @@ def features(word: str) -> list[str]:
     return [f"={word}", *[word[:k] for k in range(4, min(10, len(word)))]]
 
 
+def unaccented(word: str) -> str:
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 class Decoder:
-    """Viterbi over the lattice of a token; bigrams: log probability of a letter after another, both in lower case."""
+    """Viterbi over the lattice of a token; bigrams: log probability of a letter after another, both in lower case, with ^ and $
+    for the beginning and end of a word."""
 
     def __init__(self, bigrams: dict[str, float]):
         self.bigrams, self.least = bigrams, min(bigrams.values(), default=-8.0) - 2
+        self.costs: dict[tuple[str, str], tuple[float, str]] = {}
 
     def options(self, token: str) -> list[list[str]]:
+        """What each run of a character may stand for; a blank is the end of a word."""
         lattice, k = [], 0
         while k < len(token):
             c, run = token[k], 1
@@ -56,27 +67,40 @@ class Decoder:
                 run += 1
             letters = [*LOOKS_LIKE.get(c, ""), *([c] if c.isalpha() else [])]
             if c in SEPARATORS:
-                lattice.append([""])
+                lattice.append(["", " "])
             elif not letters:
                 lattice.append([c])
             else:
-                lattice.append([x * n for x in letters for n in ((1,) if run == 1 else (1, 2))])
+                lattice.append([x * n for x in letters for n in ((1,) if run == 1 else (1, 2))] + ["w"] * (c == "v" and run == 2))
             k += run
         return lattice
 
+    def cost(self, last: str, option: str) -> tuple[float, str]:
+        """The log probability of an option after a letter, and the letter that it ends in."""
+        if (last, option) not in self.costs:
+            total, at = 0.0, last
+            for c in option:
+                total, at = total + self.bigrams.get(at + ("$" if c == " " else c), self.least), "^" if c == " " else c
+            self.costs[last, option] = total, at
+        return self.costs[last, option]
+
     def restore(self, token: str) -> str:
-        best = {"^": (0.0, "")}
+        """The most likely path: of those that end in each letter the best, with where it came from."""
+        best, came = {"^": 0.0}, []
         for options in [*self.options(token), ["$"]]:
-            now: dict[str, tuple[float, str]] = {}
-            for last, (score, text) in best.items():
+            now: dict[str, tuple[float, str, str]] = {}
+            for last, score in best.items():
                 for option in options:
-                    total, at = score, last
-                    for c in option:
-                        total, at = total + self.bigrams.get(at + c, self.least), c
-                    if at not in now or total > now[at][0]:
-                        now[at] = (total, text + option)
-            best = now
-        return max(best.values())[1].rstrip("$")
+                    more, at = self.cost(last, option)
+                    if at not in now or (score + more, option) > (now[at][0], now[at][2]):
+                        now[at] = (score + more, last, option)
+            best = {at: x[0] for at, x in now.items()}
+            came.append(now)
+        out, at = [], max(best, key=lambda x: (best[x], x))
+        for step in reversed(came):
+            _, at, option = step[at]
+            out.append(option)
+        return "".join(reversed(out[1:]))
 
 
 class Scorer:
@@ -84,60 +108,90 @@ class Scorer:
 
     def __init__(self, weights: dict[str, float], bigrams: dict[str, float]):
         self.weights, self.decoder, self.memory = weights, Decoder(bigrams), {}
+        self.longest = max(map(len, weights), default=0)
+
+    def restored(self, token: str) -> list[str]:
+        """The words of the decoded token; where single letters are parted, a word may begin at any of them."""
+        if not (DISGUISED.search(token) or PARTS.search(token)):
+            return []
+        found = self.decoder.restore(token).split(" ")
+        if SPACED.fullmatch(token):
+            joined = "".join(found)
+            found += [joined[k : k + n] for k in range(len(joined)) for n in range(4, self.longest)] if len(joined) >= 4 else []
+        return found
 
-    def restored(self, token: str) -> str:
-        if len(token) <= MOST_TOKEN and (DISGUISED.search(token) or PARTS.search(token)):
-            return self.decoder.restore(token)
-        return LETTERS.sub("", token)
+    def fresh(self, token: str) -> float:
+        plain = LETTERS.sub("", token)
+        return max(self.weights.get(f, 0.0) for w in {plain, unaccented(plain), *self.restored(token)} for f in features(w))
 
     def weight(self, token: str) -> float:
+        if len(token) > REMEMBERED:
+            return self.fresh(token)
         if token not in self.memory:
             if len(self.memory) > MEMORY:
                 self.memory.clear()
-            plain, decoded = LETTERS.sub("", token), self.restored(token)
-            self.memory[token] = max(self.weights.get(f, 0.0) for w in {plain, decoded} for f in features(w))
+            self.memory[token] = self.fresh(token)
         return self.memory[token]
 
     def tokens(self, text: str) -> set[str]:
-        low = text.lower()
+        low = UNSEEN.sub("", text.lower())
         found = set(TOKEN.findall(low))
         found.update(m.group() for m in SPACED.finditer(low))
-        found.update(m.group() for m in PARTED.finditer(low) if len(m.group()) <= MOST_TOKEN)
+        found.update(m.group() for m in PARTED.finditer(low))
         return found
 
     def raw(self, text: str) -> float:
         return sum(map(self.weight, self.tokens(text)))
 
 
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas function: how often a letter follows another in the words of a batch, as two code points."""
+    for batch in batches:
+        for k in range(0, len(batch), 500):
+            code = np.frombuffer(" ".join(["", *batch["text"].iloc[k : k + 500].str.lower(), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            letters = np.array([c for c in np.flatnonzero(np.bincount(code)) if chr(c).isalpha()], np.int64)
+            number, size = np.zeros(int(code.max()) + 1, np.int64), len(letters) + 1
+            number[letters] = np.arange(1, size)
+            both = number[code[:-1]] * size + number[code[1:]]
+            pairs, n = np.unique(both, return_counts=True) if size > 1000 else (np.arange(size * size), np.bincount(both, minlength=size * size))
+            pairs, n = pairs[(n > 0) & (pairs > 0)], n[(n > 0) & (pairs > 0)]
+            letters = np.concatenate([[0], letters])
+            yield pd.DataFrame({"a": letters[pairs // size], "b": letters[pairs % size], "n": n})
+
+
+def letter_pairs(docs: DataFrame) -> dict[str, int]:
+    """How often a letter follows another in words of all texts (^ begins a word, $ ends it), for pairs of enough of them."""
+    counts = saved(docs.select(whole(F.col("text")).alias("text")).mapInPandas(_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return {(chr(r["a"]) if r["a"] else "^") + (chr(r["b"]) if r["b"] else "$"): r["n"] for r in counts.where(F.col("n") >= PAIR_SHARE * total).collect()}
+
+
 def _gathered(known: frozenset[str] | None):
-    """mapInPandas function. Per batch, by feature the documents and the toxic ones that have it: of whole words, with the
-    bigrams (kind 2) and their occurrences; or, with the telling words known, of the stems of all other words."""
+    """mapInPandas function. Per batch, by feature the documents and the toxic ones that have it: of whole words or, with the
+    telling words known, of the stems of all other words."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, toxic, bigrams = Counter(), Counter(), Counter()
+            n, toxic = Counter(), Counter()
             for text, label in zip(batch["text"], batch["toxic"], strict=True):
                 words = {LETTERS.sub("", token) for token in set(TOKEN.findall(text.lower()))}
                 words = {w for w in words if w.isalpha()}
                 if known is None:
                     own = {f"={w}" for w in words}
-                    for word in words:
-                        bigrams.update(map("".join, zip(f"^{word}", f"{word}$")))
                 else:
                     own = {f for w in words if f"={w}" not in known for f in features(w)[1:]}
                 n.update(own)
                 if label:
                     toxic.update(own)
             if n:
-                yield pd.DataFrame({"kind": 1, "key": list(n), "n": list(n.values()), "toxic": [toxic[k] for k in n]})
-            if bigrams:
-                yield pd.DataFrame({"kind": 2, "key": list(bigrams), "n": list(bigrams.values()), "toxic": 0})
+                yield pd.DataFrame({"key": list(n), "n": list(n.values()), "toxic": [toxic[k] for k in n]})
 
     return gather
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Weights, bigrams, slope and bias from at most sample_rows labelled rows of each class outside the held-out fold.
+    """Weights, slope and bias from at most sample_rows labelled rows of each class outside the held-out fold;
+    bigrams from all documents.
 
     The rows are those with the least hash of doc_id, so that a rerun takes the same. A doc_id with several labels counts as
     toxic if one of them is. Without rows of both classes nothing has a weight and every score is
@@ -158,24 +212,23 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, sam
     weight = F.log(in_toxic / (n1 + 1)) - F.log(in_others / (n0 + 1)) - CAUTION * F.sqrt(1 / in_toxic + 1 / in_others)
 
     def told(counts: DataFrame) -> dict[str, float]:
-        rows = counts.where((F.col("kind") == 1) & (F.col("toxic") >= max(MIN_TOXIC, MIN_TOXIC_SHARE * n1)) & (F.col("weight") >= MIN_WEIGHT))
-        return {r["key"]: r["weight"] for r in rows.orderBy(F.col("weight").desc(), "key").limit(MOST_FEATURES).collect()}
+        # a few times the words of the sample at most, which is bounded
+        rows = counts.where((F.col("toxic") >= max(MIN_TOXIC, MIN_TOXIC_SHARE * n1)) & (F.col("weight") >= MIN_WEIGHT))
+        return {r["key"]: r["weight"] for r in rows.collect()}
 
     def gathered(words: frozenset[str] | None) -> DataFrame:
-        rows = sample.select("text", "toxic").mapInPandas(_gathered(words), "kind int, key string, n long, toxic long")
-        return saved(rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).withColumn("weight", weight))
+        rows = sample.select("text", "toxic").mapInPandas(_gathered(words), "key string, n long, toxic long")
+        return saved(rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).withColumn("weight", weight))
 
-    counts = gathered(None)
-    weights = told(counts)
+    weights = told(gathered(None))
     # a stem that only stands for a telling word says nothing about other words that begin with it
     weights = told(gathered(frozenset(weights))) | weights
-    # at most the square of the letters in use; the rarest are left out
-    pairs = counts.where(F.col("kind") == 2).orderBy(F.col("n").desc(), "key").limit(MOST_FEATURES).collect()
-    seen, firsts = Counter({r["key"]: r["n"] for r in pairs}), Counter()
+    seen, firsts = Counter(letter_pairs(docs)), Counter()
+    share = max(1, sum(seen.values()) // 20_000)
     for key in weights:  # what the classifier knows is what disguises hide
         word = key.lstrip("=")
         for pair in map("".join, zip(f"^{word}", word + "$" * key.startswith("="))):
-            seen[pair] += n1 // 5 + 1
+            seen[pair] += share
     for key, n in seen.items():
         firsts[key[0]] += n
     bigrams = {key: math.log(n / firsts[key[0]]) for key, n in seen.items()}
