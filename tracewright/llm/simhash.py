@@ -5,7 +5,8 @@ space of its own, so the search is run twice, for radius 1 on a half, and pairs
 half, a vantage-point tree cuts the points by their distance from a pivot; by the triangle bound, only points whose distance
 is exactly one more than the cut can have a neighbour on the inner side, and those are sent there too as guests. From there
 on a guest goes to every side where a neighbour may be at home, outwards too from a distance equal to the cut. So each pair
-meets in the home leaf of one of the two. (On whole fingerprints with radius 3 most points lie within the bound of any cut, and every level would copy most of them.)
+meets in the home leaf of one of the two. Points that share a half can't be cut by it: a leaf that holds too many is split
+further on the other half, of whose bits three differ at most, so that of any four parts of it one is equal. (On whole fingerprints with radius 3 most points lie within the bound of any cut, and every level would copy most of them.)
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from tracewright.llm.common import ascii_lower, bound, bounded, indices, numbere
 SHINGLE, RADIUS, BITS = 3, 3, 64
 #: Rows of the sample that the trees' pivots and cuts are fitted on, the fingerprints that a leaf should hold, and the block of a leaf that is compared at once.
 SAMPLE_ROWS, LEAF_ROWS, BLOCK = 100_000, 4_000, 2_048
+#: Times LEAF_ROWS from which on a leaf is split, and the ways, one after the other, of parting 32 bits in four: by masks.
+TOO_MANY = 4
+PARTS = [[0xFF << 8 * k for k in range(4)], [0x11111111 << k for k in range(4)], [0x03030303 << 2 * k for k in range(4)]]
 
 
 def _hashes(text: Column) -> Column:
@@ -96,7 +100,7 @@ def _deal(trees: list[np.ndarray]):
                     if not len(rows):
                         continue
                     if inner < 0:
-                        yield pd.DataFrame({"leaf": np.int64(half << 32 | node), "fingerprint": x[rows], "home": home})
+                        yield pd.DataFrame({"leaf": np.int64(half << 32 | node), "half": np.int32(half), "fingerprint": x[rows], "home": home})
                         continue
                     d = np.bitwise_count(part[rows] ^ np.uint64(pivot))
                     # a guest must follow the homes it borders on, also outwards; of two homes one side is enough
@@ -150,11 +154,24 @@ def _leaf_links(leaf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": links[:, 0].astype(np.uint64).view(np.int64), "b": links[:, 1].astype(np.uint64).view(np.int64)})
 
 
+def _split(dealt: DataFrame, masks: list[int], most: int) -> DataFrame:
+    """dealt with each leaf of more than so many rows cut: a row goes to four new leaves, one for each part of its other half."""
+    big = saved(dealt.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > most).select("leaf"))
+    if big.isEmpty():
+        return dealt
+    other = F.when(F.col("half") == 0, F.shiftrightunsigned("fingerprint", 32)).otherwise(F.col("fingerprint").bitwiseAND(F.lit((1 << 32) - 1)))
+    keys = F.array(*[F.xxhash64("leaf", F.lit(mask).cast("long"), other.bitwiseAND(F.lit(mask).cast("long"))) for mask in masks])
+    cut = dealt.join(bounded(big), "leaf", "left_semi").select(F.explode(keys).alias("leaf"), "half", "fingerprint", "home")
+    return dealt.join(bounded(big), "leaf", "left_anti").select(*dealt.columns).unionByName(cut)
+
+
 def links(distinct: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """a, b: links between distinct fingerprints that connect exactly what their pairs within the radius connect.
 
     In a leaf only a spanning forest of the pairs is returned, so that a dense group of n near copies gives under n rows."""
-    dealt = distinct.select("fingerprint").mapInPandas(_deal(_fit(distinct, leaf_rows)), "leaf long, fingerprint long, home boolean")
+    dealt = distinct.select("fingerprint").mapInPandas(_deal(_fit(distinct, leaf_rows)), "leaf long, half int, fingerprint long, home boolean")
+    for masks in PARTS:
+        dealt = _split(dealt, masks, TOO_MANY * leaf_rows)
     return dealt.groupBy("leaf").applyInPandas(_leaf_links, "a long, b long").distinct()
 
 
