@@ -232,6 +232,36 @@ def test_vantage_point_trees_miss_no_pair():
         assert not [p for p in pairs if (home[half, p[0]], p[1]) not in met and (home[half, p[1]], p[0]) not in met]
 
 
+def test_points_that_share_a_half(spark):
+    """50,000 fingerprints of one half: their leaf is cut on the other half, and no link is lost."""
+    rng = np.random.default_rng(7)
+    low = np.unique(rng.integers(0, 2**32, 50_000).astype(np.uint64))
+    low = np.unique(np.concatenate([low, low[:200] ^ np.uint64(0x80010001), low[200:400] ^ np.uint64(7)]))
+    points = low | np.uint64(0xABCDEF01 << 32)
+    frame = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fingerprint long")
+    got = {r.node: r.root for r in simhash.components(simhash.links(frame, leaf_rows=500)).collect()}
+    parent = np.arange(len(low))
+    for i in range(0, len(low), 1000):
+        for a, b in zip(*np.nonzero(np.bitwise_count(low[i : i + 1000, None] ^ low[None, :]) <= 3), strict=True):
+            p, q = int(a) + i, int(b)
+            while parent[p] != p:
+                p = parent[p]
+            while parent[q] != q:
+                q = parent[q]
+            parent[max(p, q)] = min(p, q)
+    for k in range(len(low)):
+        parent[k] = parent[parent[k]]
+    signed = points.view(np.int64).tolist()
+    ours, theirs = {}, {}
+    for k, x in enumerate(signed):
+        root = k
+        while parent[root] != root:
+            root = parent[root]
+        ours.setdefault(got.get(x, x), set()).add(k)
+        theirs.setdefault(root, set()).add(k)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values())) and len(theirs) < len(low) - 400
+
+
 def test_suffix_tree_base(spark):
     rows = texts(spark) + [(10**6 + 3, "")]
     got = {r.doc_id: r for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -354,13 +384,31 @@ def test_toxicity_sees_through_disguises(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = toxicity.fit(docs, labels, sample_rows=1500)
     plain = toxicity.Scorer(model["weights"], model["bigrams"])
-    for token in ("1d1ot", "m0r0n", "s.c.u.m", "l o s e r", "stuuuupid", "p@thetic", "tr4$h", "cl0wn", "w-o-r-t-h-l-e-s-s", "d1sgu5t1ng"):
+    for token in ("1d1ot", "m0r0n", "s.c.u.m", "l o s e r", "stuuuupid", "p@thetic", "tr4$h", "cl0wn", "w-o-r-t-h-l-e-s-s", "d1sgu5t1ng", "iiddiioott", "i/d/i/o/t", "ïdïöt", "y o u i d i o t", "a m o r o n", "i\u200bdi\u200dot", "i" * 12 + "d" * 9 + "i" * 9 + "o" * 6 + "t" * 5, "a b c d e f g h j k l m n p q r s t u v w x y z i d i o t"):
         assert plain.raw(f"the of and {token} in to that") >= toxicity.MIN_WEIGHT, token
     clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").orderBy("doc_id").limit(300).collect()]
     flagged = sum(1 / (1 + math.exp(-(plain.raw(t) * model["slope"] + model["bias"]))) >= 0.5 for t in clean)
     assert flagged <= 3
 
 
+def test_decoder_takes_the_best_of_all_paths():
+    rng = random.Random(4)
+    letters = "abdilmostvw"
+    decoder = toxicity.Decoder({a + b: -6 * rng.random() for a in "^" + letters for b in letters + "$"})
+    value = lambda text: sum(decoder.cost(a, b)[0] for a, b in zip("^" + text.replace(" ", "^"), text + "$", strict=True))
+    tokens = ["".join(rng.choice("abdilmostvw103$. -") for _ in range(rng.randint(1, 7))) for _ in range(300)] + ["vvoost", "s t o l", "!!d!0t", "a..b"]
+    for token in tokens:
+        paths = ["".join(p) for p in itertools.product(*decoder.options(token))]
+        assert value(decoder.restore(token)) == pytest.approx(max(map(value, paths))), token
+        assert decoder.restore(token) in paths
+
+
+def test_letter_pairs(spark):
+    rows = [(k, t) for k, t in enumerate(["Ab ab, é-a", "", None, "x" * 3000, "a1b 語語"])]
+    want = Counter(p for _, t in rows for w in re.split(r"[\W\d_]+", (t or "").lower()) if w for p in map("".join, zip("^" + w, w + "$")))
+    assert toxicity.letter_pairs(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def test_quality_held_out(spark):
     d = SF.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontamination, mixing, pii, quality, rules, secret_scan, simhash, suffix_tree, toxicity, urls
-from tracewright.llm.common import fold, read
+from tracewright.llm.common import fold, read, stored
 
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -40,13 +40,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.apply_policy(rules.ledger(read(spark, sf_dir, "documents")), POLICY)
+    rows = rules.apply_policy(stored(rules.ledger(read(spark, sf_dir, "documents"))), POLICY)
     base_failed = F.col("failed_bits").bitwiseAND(F.lit(rules.BASE_MASK)) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"), "failed_bits")
 
 
 def op6_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.ablation(rules.ledger(read(spark, sf_dir, "documents")), POLICY)
+    return rules.ablation(stored(rules.ledger(read(spark, sf_dir, "documents"))), POLICY)
+
+
+def op6_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each version of the policy keeps, from one stored ledger."""
+    return rules.compared(stored(rules.ledger(read(spark, sf_dir, "documents"))), list(rules.POLICIES))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_pii, op3_mixing, op4_toxicity, op5_secrets, op6_quality_rules, op6_rule_ablation, op7_url_filters, op8_simhash, op9_suffix_tree, op10_quality_classifier]
+    own = [op1_decontamination, op2_pii, op3_mixing, op4_toxicity, op5_secrets, op6_quality_rules, op6_rule_ablation, op6_policies, op7_url_filters, op8_simhash, op9_suffix_tree, op10_quality_classifier]
     return {f.__name__: f for f in own}
 
 
@@ -112,6 +117,8 @@ OP6_ROWS = OP6 + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b"""
 OP6_ABLATION = OP6 + """, r AS (SELECT unnest([{'rule': 'few_words', 'bit': 1}, {'rule': 'repeated_windows', 'bit': 2}, {'rule': 'symbols', 'bit': 4}, {'rule': 'duplicate_lines', 'bit': 8}, {'rule': 'short_words', 'bit': 16}, {'rule': 'long_words', 'bit': 32}, {'rule': 'shouting', 'bit': 64}], recursive := true))
 SELECT rule, count(*) FILTER (WHERE failed_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed_bits = bit) AS n_failed_alone, count(*) FILTER (WHERE failed_bits = bit OR failed_bits = 0) AS n_kept_without FROM b, r GROUP BY 1"""
+OP6_POLICIES = OP6 + """, v AS (SELECT unnest([{'version': 'base', 'mask': 3}, {'version': 'v1', 'mask': 127}, {'version': 'v2-lenient', 'mask': 71}], recursive := true))
+SELECT version, count(*) AS n, count(*) FILTER (WHERE failed_bits & mask = 0) AS n_kept, coalesce(sum(n_words) FILTER (WHERE failed_bits & mask = 0), 0)::BIGINT AS words_kept FROM b, v GROUP BY 1"""
 
 OP7 = r"""
 WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
@@ -122,4 +129,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op3_mixing": OP3, "op6_quality_rules": OP6_ROWS, "op6_rule_ablation": OP6_ABLATION, "op7_url_filters": OP7}
+    return {"op1_decontamination": OP1, "op3_mixing": OP3, "op6_quality_rules": OP6_ROWS, "op6_rule_ablation": OP6_ABLATION, "op6_policies": OP6_POLICIES, "op7_url_filters": OP7}

@@ -75,6 +75,15 @@ def apply_policy(ledger_rows: DataFrame, version: str) -> DataFrame:
     return ledger_rows.withColumn("kept", F.col("failed_bits").bitwiseAND(F.lit(POLICIES[version])) == 0)
 
 
+def compared(ledger_rows: DataFrame, versions: list[str]) -> DataFrame:
+    """version, n, n_kept, words_kept of each policy; the ledger is counted by its bits once, at most 2 ** rules rows."""
+    counts = ledger_rows.groupBy("failed_bits").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
+    policy = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(POLICIES[v]).cast("long").alias("mask")) for v in versions])).alias("p")
+    kept = F.col("failed_bits").bitwiseAND(F.col("p.mask")) == 0
+    sums = [F.sum("n").alias("n"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("n_kept"), F.sum(F.when(kept, F.col("words")).otherwise(0)).alias("words_kept")]
+    return counts.select("*", policy).groupBy(F.col("p.version").alias("version")).agg(*sums)
+
+
 def ablation(ledger_rows: DataFrame, version: str, rules: list[tuple[int, str, str]] = RULES) -> DataFrame:
     """Per rule of the policy: documents that fail it, that fail it alone, and that the policy would keep without it.
 
