@@ -387,7 +387,7 @@ def test_toxicity_sees_through_disguises(spark):
     for token in ("1d1ot", "m0r0n", "s.c.u.m", "l o s e r", "stuuuupid", "p@thetic", "tr4$h", "cl0wn", "w-o-r-t-h-l-e-s-s", "d1sgu5t1ng", "iiddiioott", "i/d/i/o/t", "ïdïöt", "y o u i d i o t", "a m o r o n", "i\u200bdi\u200dot", "i" * 12 + "d" * 9 + "i" * 9 + "o" * 6 + "t" * 5, "a b c d e f g h j k l m n p q r s t u v w x y z i d i o t"):
         assert plain.raw(f"the of and {token} in to that") >= toxicity.MIN_WEIGHT, token
     clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").orderBy("doc_id").limit(300).collect()]
-    flagged = sum(1 / (1 + math.exp(-(plain.raw(t) * model["slope"] + model["bias"]))) >= 0.5 for t in clean)
+    flagged = sum(1 / (1 + math.exp(-(math.log1p(plain.raw(t)) * model["slope"] + model["bias"]))) >= 0.5 for t in clean)
     assert flagged <= 3
 
 

@@ -28,7 +28,7 @@ TOO_MANY = 4
 PARTS = [[0xFF << 8 * k for k in range(4)], [0x11111111 << k for k in range(4)], [0x03030303 << 2 * k for k in range(4)]]
 
 
-def _hashes(text: Column) -> Column:
+def shingle_hashes(text: Column) -> Column:
     """XXH64 (seed 42) of the shingles, repeats included: of the whole sequence where it is shorter, none for no words."""
     shingled = lambda w: F.transform(indices(F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + k) for k in range(SHINGLE)])))
     short = lambda w: F.when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
@@ -47,7 +47,7 @@ def _majority(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (long): a bit is 1 if it is set in over half of the shingle hashes. Texts without words have 0."""
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hashes(F.col("text")).alias("h"))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.col("text")).alias("h"))
     return hashed.mapInPandas(_majority, "doc_id long, fingerprint long")
 
 

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import fold, saved, whole
+from tracewright.llm.simhash import shingle_hashes
 
 #: What characters may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "а": "a", "е": "e", "о": "o", "і": "i", "с": "c", "р": "p"}
@@ -111,12 +112,13 @@ class Scorer:
         self.longest = max(map(len, weights), default=0)
 
     def restored(self, token: str) -> list[str]:
-        """The words of the decoded token; where single letters are parted, a word may begin at any of them."""
+        """The words of the decoded token, and all of it as one; where single letters are parted, a word may begin at any of them."""
         if not (DISGUISED.search(token) or PARTS.search(token)):
             return []
         found = self.decoder.restore(token).split(" ")
+        joined = "".join(found)
+        found.append(joined)
         if SPACED.fullmatch(token):
-            joined = "".join(found)
             found += [joined[k : k + n] for k in range(len(joined)) for n in range(4, self.longest)] if len(joined) >= 4 else []
         return found
 
@@ -203,7 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, sam
     all1, all0 = known.select(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     least = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for label in (0, 1)]
     chosen = saved(least[0].unionByName(least[1]))
-    sample = saved(docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id").repartition(32))
+    rows = docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # copies of a text are no evidence of their own: of those whose least hash of three words agrees, one stays
+    least = rows.groupBy("toxic", F.array_min(shingle_hashes(F.col("text"))).alias("sketch")).agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    sample = saved(least.select("r.doc_id", "r.text", "toxic").repartition(32))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
@@ -233,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, sam
         firsts[key[0]] += n
     bigrams = {key: math.log(n / firsts[key[0]]) for key, n in seen.items()}
     rows = sample.select("doc_id", "toxic", _udf({"weights": weights, "bigrams": bigrams})("text").alias("raw")).select("toxic", "raw").toPandas()
-    slope, bias = _platt(rows["raw"].to_numpy(float), rows["toxic"].to_numpy(float), all1 / n1, all0 / n0)
+    slope, bias = _platt(np.log1p(rows["raw"].to_numpy(float)), rows["toxic"].to_numpy(float), all1 / n1, all0 / n0)
     return {"weights": weights, "bigrams": bigrams, "slope": slope, "bias": bias}
 
 
@@ -263,15 +268,18 @@ def _udf(model: dict):
     return raw
 
 
+def _probability(model: dict) -> Column:
+    """A logistic curve over the logarithm of the sum: a few labels that are wrong about very toxic texts then don't bend it."""
+    return 1 / (1 + F.exp(-(F.log1p(_udf(model)(whole(F.col("text")))) * model["slope"] + model["bias"])))
+
+
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on); columns of these names are replaced. A null or empty text has
     the score of a text without any listed word; whole texts are read, of any length."""
-    raw = _udf(model)(whole(F.col("text")))
-    score = 1 / (1 + F.exp(-(raw * model["slope"] + model["bias"])))
-    return docs.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn("score", _probability(model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
     """docs without those that are predicted to be toxic; the columns stay."""
-    kept = docs.withColumn("__p", 1 / (1 + F.exp(-(_udf(model)(whole(F.col("text"))) * model["slope"] + model["bias"]))))
+    kept = docs.withColumn("__p", _probability(model))
     return kept.where(F.col("__p") < 0.5).select(*docs.columns)
