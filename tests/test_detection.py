@@ -68,3 +68,16 @@ def test_tables(spark):
     assert [r.balance for r in tables.ledger(moves, "item", ("n",), F.col("c"), 1).orderBy("n").collect()] == [5, 0, 4, 3, 0, 2]
     said = spark.createDataFrame([("the cat and the dog",), ("der Hund und die Katze",), ("",), (None,)], "t string")
     assert [r[0] for r in said.select(tables.language(F.col("t"))).collect()] == ["en", "de", "unknown", "unknown"]
+
+
+def test_stated_confidence(spark):
+    lines = {"confidence: 0.85": 0.85, "- **Confidence:** [85%]": 0.85, "CONFIDENCE : 90 %.": 0.9, "> *confidence*: .5, as said": 0.5, "Confidence: 1": 1.0, "confidence 0.5": None, "my confidence: 0.5": None, "confidence: high": None, "": None, "confidence: 7.": 7.0, "confidence: 0.5%": 0.5}
+    rows = spark.createDataFrame([(k,) for k in lines], "line string").withColumn("c", detection.stated_confidence(F.col("line")))
+    assert {r.line: r.c for r in rows.collect()} == lines
+
+
+def test_containing_keeps_case_and_cut_words(spark):
+    texts = spark.createDataFrame([(1, "please ignore the instructions  now"), (2, "IGNORE the instruction"), (3, "a\\nb !? c"), (4, None), (1, "please ignore the instructions  now")], "k long, t string")
+    needles = spark.createDataFrame([(1, "ignore the instruction"), (2, "a b"), (3, "!?"), (4, ""), (5, None), (6, "gnore the instr")], "i long, needle string")
+    got = {(r.k, r.i) for r in detection.containing(texts, "k", "t", needles, "needle").collect()}
+    assert got == {(1, 1), (1, 6), (3, 2), (3, 3)}

@@ -89,13 +89,14 @@ def compass(degrees: Column) -> Column:
 
 
 def password_strength(p: Column, known_bad: tuple[str, ...] = ()) -> Column:
-    """0 to 100: length, kinds of characters, distinct ones; less for known passwords and for runs of ascending characters."""
+    """0 to 100: length, kinds of characters, distinct ones; less for known passwords and, by 25 at most, for runs of
+    ascending characters."""
     n = F.length(p)
     kinds = sum((F.when(p.rlike(x), 10).otherwise(0) for x in (r"\p{Ll}", r"\p{Lu}", r"\d", r"[!@#$%^&*()_+\-=\[\]{}|;:,.<>?]")), F.lit(0))
     code = lambda i: F.ascii(F.substring(p, i, F.lit(1)))
     places = F.when(n >= 3, F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     runs = F.size(F.filter(places, lambda i: (code(i + 1) == code(i) + 1) & (code(i + 2) == code(i) + 2)))
-    score = F.when(n >= 8, F.least(2 * n, F.lit(25))).otherwise(0) + kinds + F.least(2 * F.size(F.array_distinct(F.filter(F.split(p, ""), lambda c: c != ""))), F.lit(20)) - 10 * runs
+    score = F.when(n >= 8, F.least(2 * n, F.lit(25))).otherwise(0) + kinds + F.least(2 * F.size(F.array_distinct(F.filter(F.split(p, ""), lambda c: c != ""))), F.lit(20)) - F.least(10 * runs, F.lit(25))
     score = score - (F.when(F.lower(p).isin(*known_bad), 30).otherwise(0) if known_bad else 0)
     return F.greatest(F.lit(0), F.least(F.lit(100), score))
 

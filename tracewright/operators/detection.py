@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions import scalars
+
 #: Threat tactics, in the order in which they are looked for.
 TACTICS = ("initial_compromise", "permission_abuse", "security_control_bypass", "reasoning_data_manipulation", "operational_impact")
-CONFIDENCE = r"(?i)^\s*(?:[-*>]\s*)?\**confidence\**\s*:\**\s*\[?\**\s*(\d+(?:\.\d*)?|\.\d+)\s*(%?)\s*\**\]?\s*[.,;:]?(?=\s|$)"
+
+
+def stated_confidence(line: Column) -> Column:
+    """The number of a line like "- **Confidence:** [85%]", null for any other: list marks, asterisks and brackets are dropped, the
+    name stands before the colon, and the number is the first word after it, with a percent sign in hundredths."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(line, r"[*\[\]]", ""), r"^\s*[->]", ""))
+    words = F.filter(F.split(F.replace(F.regexp_replace(bare, "^[^:]*:", ""), F.lit("%"), F.lit(" % ")), r"\s+"), lambda w: w != "")
+    number = F.rtrim(F.get(words, F.lit(0)), F.lit(".,;:"))
+    value = F.when(number.rlike(r"^([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), number.try_cast("double"))
+    value = F.when((F.get(words, F.lit(1)) == "%") & (value >= 1), value / 100).otherwise(value)
+    return F.when(F.lower(F.trim(F.split_part(bare, F.lit(":"), F.lit(1)))) == "confidence", value)
 
 
 def triage(text: Column) -> Column:
@@ -17,9 +29,7 @@ def triage(text: Column) -> Column:
     tactic = F.lit("N/A")
     for name in reversed(TACTICS):
         tactic = F.when(F.contains(field("threat_tactic:"), F.lit(name)), name).otherwise(tactic)
-    number = lambda line: F.regexp_extract(line, CONFIDENCE, 1).cast("double")
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: x.rlike(CONFIDENCE))
-    scaled = F.transform(lines, lambda x: F.when((F.regexp_extract(x, CONFIDENCE, 2) == "%") & (number(x) >= 1), number(x) / 100).otherwise(number(x)))
+    scaled = F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), stated_confidence)
     confidence = F.coalesce(F.get(F.filter(scaled, lambda v: v.between(0, 1)), F.lit(0)), F.lit(0.8))
     after = lambda name: F.trim(F.regexp_replace(F.split_part(low, F.lit(name), F.lit(2)), r"^\s+", ""))
     first = lambda name: F.split_part(after(name), F.lit("\n"), F.lit(1))
@@ -48,20 +58,29 @@ def trust(labels: Column, trusted: tuple[str, ...], transparent: tuple[str, ...]
     return F.when(F.forall(labels, lambda x: x.isin(*trusted)), "Trusted").when(F.forall(labels, lambda x: x.isin(*trusted, *transparent)), "Transparent").otherwise("Untrusted")
 
 
-def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str, word: str = r"[^a-z0-9]+") -> DataFrame:
-    """Pairs of a text and a needle that it contains, after both are lower-cased and blanks squeezed.
-
-    Candidates share the needle's longest word as a whole word of the text, which a hash join finds; the substring test runs
-    on those only. Needles are taken to begin and end at word borders; one without a word is contained nowhere."""
-    squeeze = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    split = lambda c: F.array_remove(F.split(c, word), "")
-    # words at the ends may be cut inside a longer word of the text, so only inner ones are keys
-    inner = needles.withColumn("__needle", squeeze(F.col(needle))).withColumn("__words", split(F.col("__needle")))
-    key = F.get(F.sort_array(F.transform("__words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), F.lit(0))["w"]
-    keyed = inner.withColumn("__key", key).where(F.col("__key").isNotNull()).drop("__words")
-    rows = texts.withColumn("__text", squeeze(F.col(text)))
-    words = rows.select("*", F.explode(F.array_distinct(split(F.col("__text")))).alias("__key"))
-    return words.join(keyed, "__key").where(F.contains("__text", F.col("__needle"))).drop("__key", "__text", "__needle")
+def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str, word: str = r"[^\p{L}\p{N}]+", most: int = 10_000) -> DataFrame:
+    """Pairs of a text (its key) and a needle (all its columns) that it contains, after blanks are squeezed in both.
+
+    Candidates share the needle's longest inner word as a whole word of the text, which a hash join finds; the words at the
+    needle's ends may be cut inside a longer one of the text. Needles without an inner word are looked for in every text; of
+    those there may be `most`. Rows with the same key count as one text each; an empty needle is contained nowhere."""
+    split = lambda c: F.split(c, word)
+    listed = needles.withColumn("__needle", scalars.squeezed(F.col(needle))).where("__needle <> ''")
+    inner = F.filter(F.slice(split(F.col("__needle")), F.lit(2), F.greatest(F.size(split(F.col("__needle"))) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.get(F.sort_array(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), F.lit(0))["w"]
+    keyed = listed.withColumn("__key", longest)
+    rows = texts.select(F.col(key), scalars.squeezed(F.col(text)).alias("__text"), F.xxhash64(key, text).alias("__row"))
+    # only the row's number goes with its words; the texts are read again for the candidates
+    words = rows.select("__row", F.explode(F.array_distinct(split(F.col("__text")))).alias("__key"))
+    asked = words.join(keyed.where(F.col("__key").isNotNull()), "__key").drop("__key").distinct()
+    found = rows.join(asked, "__row").where(F.contains("__text", F.col("__needle")))
+    short = keyed.where(F.col("__key").isNull()).drop("__key")
+    if short.isEmpty():
+        return found.drop("__text", "__row", "__needle")
+    if short.count() > most:
+        raise ValueError(f"more than {most} needles have no inner word")
+    every = rows.join(F.broadcast(short), F.contains("__text", F.col("__needle")))
+    return found.select(*every.columns).unionByName(every).drop("__text", "__row", "__needle")
 
 
 def coverage(expected: Column, called: Column) -> Column:

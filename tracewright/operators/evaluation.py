@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Ranges of values that a group is cut into to be ranked; the cuts are a list of so many numbers.
+RANGES = 64
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or missing."""
@@ -38,11 +41,43 @@ def spread(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return rows.where(x.isNotNull()).groupBy(*by).agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.percentile(x, F.lit(0.95)).alias("p95"), F.percentile(x, F.lit(0.99)).alias("p99"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
 
 
-def rank_percent(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """The cumulative share of each row in the order of positive values, within each group: rank / n * 100."""
+def rank_percent(rows: DataFrame, value: str, by: str, tie: str) -> DataFrame:
+    """The cumulative share of each row in the order of positive values, within each group: rank / n * 100; tie orders equal
+    values.
+
+    A group is not ranked in one task: it is cut by quantiles of all values into RANGES ranges, ranked within a range, and the
+    rows of earlier ranges are added. The rows of one group and value are ranked together."""
     positive = rows.where(F.col(value) > 0)
-    n = F.count("*").over(W.partitionBy(by))
-    return positive.withColumn("cdf", F.row_number().over(W.partitionBy(by).orderBy(value, "event_id")) * 100.0 / n)
+    cuts = positive.approxQuantile(value, [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES)
+    dealt = positive.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(value))))
+    counts = dealt.groupBy(by, "__range").agg(F.count("*").alias("__rows"))
+    earlier = W.partitionBy(by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(by, "__range", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"), F.sum("__rows").over(W.partitionBy(by)).alias("__n"))
+    # a null group is a group
+    starts = starts.select(F.col(by).alias("__by"), F.col("__range").alias("__of"), "__start", "__n")
+    ranked = dealt.withColumn("__rank", F.row_number().over(W.partitionBy(by, "__range").orderBy(value, tie)))
+    joined = ranked.join(starts, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__of")))
+    return joined.withColumn("cdf", (F.col("__start") + F.col("__rank")) * 100.0 / F.col("__n")).select(*rows.columns, "cdf")
+
+
+def class_distribution(rows: DataFrame, label: str) -> DataFrame:
+    """label, n, share: how many rows each class has."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("__all"))), F.lit(True)).select(label, "n", ratio(F.col("n"), F.col("__all")).alias("share"))
+
+
+def run_summary(tasks: DataFrame, seconds: str, succeeded: Column, wall: float, workers: int) -> DataFrame:
+    """One row of a run: tasks, successes and their rate, seconds of work, speed-up over one after the other, efficiency."""
+    out = tasks.agg(F.count("*").alias("n_tasks"), F.count_if(succeeded).alias("n_succeeded"), F.coalesce(F.sum(seconds), F.lit(0.0)).alias("work_seconds"), F.coalesce(F.avg(seconds), F.lit(0.0)).alias("mean_seconds"))
+    out = out.withColumns({"success_rate": ratio(F.col("n_succeeded"), F.col("n_tasks")), "speedup": ratio(F.col("work_seconds"), F.lit(wall))})
+    return out.withColumn("efficiency", F.col("speedup") / workers)
+
+
+def ablation_table(rows: DataFrame, configuration: str, cost: str, predicted: str = "predicted", actual: str = "actual") -> DataFrame:
+    """Per configuration the confusion with its rates, the total cost and the cost of a true positive (0 without one)."""
+    sums = rows.groupBy(configuration).agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("total_cost"))
+    both = confusion(rows, configuration, predicted=predicted, actual=actual).withColumnRenamed(configuration, "__of").join(sums, F.col("__of").eqNullSafe(F.col(configuration))).drop("__of")
+    return both.withColumn("cost_per_tp", ratio(F.col("total_cost"), F.col("tp")))
 
 
 def relative_to(rows: DataFrame, key: str, base: str, value: str) -> DataFrame:

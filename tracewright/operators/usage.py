@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.functions import scalars
+
 
 def nested_counts(calls: DataFrame, outer: str, inner: str) -> DataFrame:
     """Per outer: its number of calls, and inner -> count as entries in order of the name."""
@@ -13,6 +15,20 @@ def nested_counts(calls: DataFrame, outer: str, inner: str) -> DataFrame:
     return counts.groupBy(outer).agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.concat_ws("=", inner, F.col("n").cast("string")))).alias("tools"))
 
 
+def mcp_split(calls: DataFrame, name: str, *by: str) -> DataFrame:
+    """Calls of servers' tools (mcp__server__tool) and of others, the share of the first and the servers used, by the given
+    columns. A null name is no server's."""
+    server = scalars.mcp_parts(F.col(name))["server"]
+    counts = calls.groupBy(*by).agg(F.count("*").alias("n_calls"), F.count(server).alias("n_mcp"), F.countDistinct(server).alias("n_servers"))
+    return counts.withColumns({"n_native": F.col("n_calls") - F.col("n_mcp"), "mcp_ratio": F.col("n_mcp") / F.greatest("n_calls", F.lit(1)), "used_mcp": F.col("n_mcp") > 0})
+
+
+def server_counts(calls: DataFrame, name: str, session: str) -> DataFrame:
+    """server, n_calls, n_sessions (that used it at least once)."""
+    rows = calls.withColumn("server", scalars.mcp_parts(F.col(name))["server"]).where("server IS NOT NULL")
+    return rows.groupBy("server").agg(F.count("*").alias("n_calls"), F.countDistinct(session).alias("n_sessions"))
+
+
 def top(rows: DataFrame, by: str, n: int = 5) -> DataFrame:
     """The n most frequent values, by name where counts agree."""
     return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), by).limit(n)

@@ -127,7 +127,7 @@ def latency_stats(spark, sf_dir):
 
 @registered("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) * 100.0::DOUBLE / count(*) OVER (PARTITION BY event_type) AS cdf FROM events WHERE value > 0")
 def latency_cdf(spark, sf_dir):
-    return evaluation.rank_percent(table(spark, sf_dir, "events"), "value", "event_type").select("event_id", "cdf")
+    return evaluation.rank_percent(table(spark, sf_dir, "events"), "value", "event_type", "event_id").select("event_id", "cdf")
 
 
 @registered("""WITH m AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1), b AS (SELECT mean AS base FROM m WHERE event_type = (SELECT min(event_type) FROM m))
@@ -146,9 +146,44 @@ def rate_pivot(spark, sf_dir):
     return out.select("r_name", F.coalesce("BUILDING", F.lit(0)).alias("building"), F.coalesce("MACHINERY", F.lit(0)).alias("machinery"))
 
 
+@registered("SELECT toxic AS label, count(*) AS n, count(*) / (SELECT count(*) FROM labels)::DOUBLE AS share FROM labels GROUP BY 1")
+def class_distribution(spark, sf_dir):
+    return evaluation.class_distribution(table(spark, sf_dir, "labels").select(F.col("toxic").alias("label")), "label")
+
+
+@registered("""WITH r AS (SELECT count(*) AS n_tasks, count(*) FILTER (value > 10) AS n_succeeded, sum(value) AS work_seconds, avg(value) AS mean_seconds FROM events)
+SELECT *, n_succeeded / n_tasks AS success_rate, work_seconds / 1000.0::DOUBLE AS speedup, work_seconds / 1000.0::DOUBLE / 10 AS efficiency FROM r""")
+def run_summary(spark, sf_dir):
+    return evaluation.run_summary(table(spark, sf_dir, "events"), "value", F.col("value") > 10, 1000.0, 10)
+
+
+@registered(_confusion_sql("lang, sum(latency) AS total_cost,").replace("SELECT *, coalesce(2", "SELECT *, coalesce(total_cost / nullif(tp, 0), 0.0::DOUBLE) AS cost_per_tp, coalesce(2"))
+def ablation_table(spark, sf_dir):
+    return evaluation.ablation_table(evaluation.judged(*verdicts(spark, sf_dir), "doc_id"), "lang", "latency")
+
+
 # Usage
 
 
+_CALLS = "WITH c AS (SELECT user_id, CASE WHEN event_type = 'click' THEN 'mcp__web__click' WHEN event_type = 'view' THEN 'mcp__files__read__all' ELSE event_type END AS tool FROM events) "
+
+
+def _calls(spark, sf_dir):
+    name = F.when(F.col("event_type") == "click", "mcp__web__click").when(F.col("event_type") == "view", "mcp__files__read__all").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("user_id", name.alias("tool"))
+
+
+@registered(_CALLS.rstrip() + """, s AS (SELECT user_id, count(*) AS n_calls, count(*) FILTER (tool LIKE 'mcp\\_\\_%' ESCAPE '\\') AS n_mcp, count(DISTINCT CASE WHEN tool LIKE 'mcp\\_\\_%' ESCAPE '\\' THEN split_part(tool, '__', 2) END) AS n_servers FROM c GROUP BY 1)
+SELECT *, n_calls - n_mcp AS n_native, n_mcp / n_calls AS mcp_ratio, n_mcp > 0 AS used_mcp FROM s""")
+def mcp_split(spark, sf_dir):
+    return usage.mcp_split(_calls(spark, sf_dir), "tool", "user_id")
+
+
+@registered(_CALLS + """SELECT split_part(tool, '__', 2) AS server, count(*) AS n_calls, count(DISTINCT user_id) AS n_sessions FROM c WHERE tool LIKE 'mcp\\_\\_%' ESCAPE '\\' GROUP BY 1""")
+def server_counts(spark, sf_dir):
+    return usage.server_counts(_calls(spark, sf_dir), "tool", "user_id")
+
+
 @registered("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, sum(n)::BIGINT AS total, list(event_type || '=' || n ORDER BY event_type || '=' || n) AS tools FROM c GROUP BY 1""")
 def tool_usage(spark, sf_dir):
     return usage.nested_counts(table(spark, sf_dir, "events"), "user_id", "event_type")
@@ -237,10 +272,13 @@ def schema_validation(spark, sf_dir):
 # Detection and search
 
 
-@registered("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')))""")
+_SQUEEZED = r"trim(regexp_replace(replace({}.text, '\n', ' '), '\s+', ' ', 'g'))"
+
+
+@registered(f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains({_SQUEEZED.format('d')}, {_SQUEEZED.format('b')})")
 def injection_happened(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "needle")
-    return detection.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", items, "needle", r"[^\p{L}\p{N}]+").select("doc_id", "item_id").distinct()
+    return detection.containing(table(spark, sf_dir, "documents"), "doc_id", "text", items, "needle").select("doc_id", "item_id").distinct()
 
 
 @registered("""WITH s AS (SELECT user_id, max(value / 100) AS top, count(*) AS n_messages, count(*) FILTER (value / 100 >= 0.8) AS n_threats FROM events GROUP BY 1)
@@ -295,9 +333,17 @@ def semi_lookup(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@registered("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@registered("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti_lookup(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@registered("""SELECT c_custkey, greatest(0, least(100, CASE WHEN length(p) >= 8 THEN least(2 * length(p), 25) ELSE 0 END + 10 * regexp_matches(p, '[a-z]')::INT + 10 * regexp_matches(p, '[A-Z]')::INT + 10 * regexp_matches(p, '[0-9]')::INT + 10 * regexp_matches(p, '[!@#$%^&*()_+=\\[\\]{}|;:,.<>?-]')::INT
++ least(2 * len(list_distinct(string_split(p, ''))), 20) - least(25, 10 * len(list_filter(range(1, length(p) - 1), lambda i: ascii(p[i + 1]) = ascii(p[i]) + 1 AND ascii(p[i + 2]) = ascii(p[i]) + 2)))))::INTEGER AS strength FROM (SELECT c_custkey, c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN 'abcdef123456' ELSE c_custkey::VARCHAR END AS p FROM customer)""")
+def password_strength(spark, sf_dir):
+    p = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "abcdef123456").otherwise(F.col("c_custkey").cast("string")))
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.password_strength(p).cast("int").alias("strength"))
 
 
 @registered("SELECT n_name, r_name FROM nation, region")
