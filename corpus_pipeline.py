@@ -3,14 +3,13 @@ data is sanitised, and sources are mixed to their weights."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontamination, mixing, pii, simhash, toxicity
-from tracewright.llm.common import read
+from tracewright.llm.common import read, shared_folder
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +40,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order; each result is a table in the shared checkpoint folder that the next one reads."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder, docs = f"{shared}/corpus-{uuid.uuid4().hex}", read(spark, sf_dir, "documents")
+    folder, docs = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(out := f"{folder}/{k}-{name}")
         docs = spark.read.parquet(out)
