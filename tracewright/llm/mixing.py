@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import bounded, n_words, numbered, saved
 
 #: Rows of one source and size class that one window partition orders.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 1_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -43,8 +43,8 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -
     integer that its part of the sum crosses. Since sizes ascend along the order, words follow their target closely.
 
     The order within a source is cut into blocks of a size class and a range of hashes, of about BLOCK_ROWS rows each, so
-    that a source with most of the rows is ranked by many tasks: a rank is the rows of earlier blocks plus the rank in the
-    block. Rows that agree in doc_id and size (repeated rows) are interchangeable; a source with no words, or a null or
+    that a source with most of the rows is ranked by many tasks: a rank is the rows of earlier size classes, plus those of
+    earlier blocks of the class, plus the rank in the block. Rows that agree in doc_id and size (repeated rows) are interchangeable; a source with no words, or a null or
     empty text, has target 0 or takes 0 words. A null source is a source."""
     return _mixed(docs, [], seed, share, most)
 
@@ -60,8 +60,11 @@ def _mixed(docs: DataFrame, keys: list[str], seed: str = "mix", share: float = 1
     keyed = rows.alias("d").join(blocks.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bin") == F.col("b.bin")))
     keyed = keyed.select("d.*", F.floor(F.col("h") * F.col("n_blocks") / F.lit(float(1 << 32))).cast("int").alias("block"))
     counts = keyed.groupBy("source", "bin", "block").agg(F.count("*").alias("n"))
-    earlier = W.partitionBy("source").orderBy("bin", "block").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("source", "bin", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    classes = bins.withColumn("n", F.col("rows")).select("source", "bin", earlier(W.partitionBy("source").orderBy("bin")).alias("before"))
+    within = counts.select("source", "bin", "block", earlier(W.partitionBy("source", "bin").orderBy("block")).alias("before"))
+    starts = within.alias("w").join(classes.alias("c"), F.col("w.source").eqNullSafe(F.col("c.source")) & (F.col("w.bin") == F.col("c.bin")))
+    starts = starts.select("w.source", "w.bin", "w.block", (F.col("w.before") + F.col("c.before")).alias("start"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:offset:"), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = targets.withColumns({"rate": rate, "offset": offset})
