@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,27 +37,61 @@ def run_stats(verdicts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return verdicts.join(known, key, "left").agg(F.count("*").alias("total"), F.count("known").alias("scored"), F.count_if(F.col("known").isNull()).alias("dropped"))
 
 
-def spread(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Exact mean, median, p95, p99, extremes and count of what is not null."""
+def dealt(rows: DataFrame, value: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """rows with __range, and __by, __of, __rows, __start, __n of each group and range: a group is cut by quantiles of all
+    values into RANGES ranges, so that no task has to order a whole group. A null group is a group."""
+    cuts = rows.approxQuantile(value, [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES)
+    ranged = rows.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(value))))
+    counts = ranged.groupBy(by, "__range").agg(F.count("*").alias("__rows"))
+    earlier = W.partitionBy(by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    start, n = F.coalesce(F.sum("__rows").over(earlier), F.lit(0)), F.sum("__rows").over(W.partitionBy(by))
+    return ranged, counts.select(F.col(by).alias("__by"), F.col("__range").alias("__of"), "__rows", start.alias("__start"), n.alias("__n"))
+
+
+def values_at(rows: DataFrame, value: str, by: str, places: Callable[[Column], list[Column]]) -> DataFrame:
+    """__key (the group), __n, __at: the values at places(n), counted from 0, in the order of the group's n values that are not
+    null. Only the ranges that hold a place are ordered, by their distinct values."""
+    ranged, ranges = dealt(rows.where(F.col(value).isNotNull()).select(by, value), value, by)
+    wanted = ranges.select("*", F.posexplode(F.array(*[p.cast("long") for p in places(F.col("__n"))])).alias("__k", "__place"))
+    wanted = wanted.where((F.col("__place") >= F.col("__start")) & (F.col("__place") < F.col("__start") + F.col("__rows")))
+    held = wanted.groupBy("__by", "__of").agg(F.first("__n").alias("__n"), F.first("__start").alias("__start"), F.collect_list(F.struct("__k", "__place")).alias("__wanted"))
+    inside = ranged.groupBy(by, "__range", value).agg(F.count("*").alias("__c")).join(held, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__of")))
+    upto = F.col("__start") + F.sum("__c").over(W.partitionBy(by, "__range").orderBy(value))
+    met = inside.withColumn("__upto", upto).select(F.col(by).alias("__key"), "__n", F.col(value).alias("__v"), "__upto", "__c", F.inline("__wanted"))
+    met = met.where((F.col("__place") < F.col("__upto")) & (F.col("__place") >= F.col("__upto") - F.col("__c")))
+    return met.groupBy("__key", "__n").agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", "__v"))), lambda x: x["__v"]).alias("__at"))
+
+
+def percentiles(rows: DataFrame, value: str, by: str, shares: dict[str, float]) -> DataFrame:
+    """__key (the group) and a column per share: the exact percentile, between neighbours in proportion."""
+    at = lambda share, n: F.lit(share) * (n - 1)
+    found = values_at(rows, value, by, lambda n: [f(at(p, n)) for p in shares.values() for f in (F.floor, F.ceil)])
+    low, high = (lambda k: F.get("__at", F.lit(2 * k))), (lambda k: F.get("__at", F.lit(2 * k + 1)))
+    part = lambda p: at(p, F.col("__n")) - F.floor(at(p, F.col("__n")))
+    return found.select("__key", *[(low(k) + (high(k) - low(k)) * part(p)).alias(name) for k, (name, p) in enumerate(shares.items())])
+
+
+def spread(rows: DataFrame, value: str, by: str) -> DataFrame:
+    """Exact mean, median, p95, p99, extremes and count of what is not null, by group."""
     x = F.col(value)
-    return rows.where(x.isNotNull()).groupBy(*by).agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.percentile(x, F.lit(0.95)).alias("p95"), F.percentile(x, F.lit(0.99)).alias("p99"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
+    sums = rows.where(x.isNotNull()).groupBy(by).agg(F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
+    both = sums.join(percentiles(rows, value, by, {"median": 0.5, "p95": 0.95, "p99": 0.99}), F.col(by).eqNullSafe(F.col("__key")))
+    return both.select(by, "mean", "median", "p95", "p99", "min", "max", "n")
+
+
+def detection_rates(rows: DataFrame, by: str, detectors: dict[str, Column], actual: str = "actual") -> DataFrame:
+    """by and a column per detector: the share of the actual positives that it finds, 0 where there are none."""
+    rate = lambda found: ratio(F.count_if(F.col(actual) & found), F.count_if(F.col(actual)))
+    return rows.groupBy(by).agg(*[rate(found).alias(name) for name, found in detectors.items()])
 
 
 def rank_percent(rows: DataFrame, value: str, by: str, tie: str) -> DataFrame:
     """The cumulative share of each row in the order of positive values, within each group: rank / n * 100; tie orders equal
     values.
 
-    A group is not ranked in one task: it is cut by quantiles of all values into RANGES ranges, ranked within a range, and the
-    rows of earlier ranges are added. The rows of one group and value are ranked together."""
-    positive = rows.where(F.col(value) > 0)
-    cuts = positive.approxQuantile(value, [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES)
-    dealt = positive.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(value))))
-    counts = dealt.groupBy(by, "__range").agg(F.count("*").alias("__rows"))
-    earlier = W.partitionBy(by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(by, "__range", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"), F.sum("__rows").over(W.partitionBy(by)).alias("__n"))
-    # a null group is a group
-    starts = starts.select(F.col(by).alias("__by"), F.col("__range").alias("__of"), "__start", "__n")
-    ranked = dealt.withColumn("__rank", F.row_number().over(W.partitionBy(by, "__range").orderBy(value, tie)))
+    A group is not ranked in one task: it is ranked within ranges, and the rows of earlier ranges are added (see dealt)."""
+    ranged, starts = dealt(rows.where(F.col(value) > 0), value, by)
+    ranked = ranged.withColumn("__rank", F.row_number().over(W.partitionBy(by, "__range").orderBy(value, tie)))
     joined = ranked.join(starts, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__of")))
     return joined.withColumn("cdf", (F.col("__start") + F.col("__rank")) * 100.0 / F.col("__n")).select(*rows.columns, "cdf")
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.operators.evaluation import percentiles, values_at
+
 
 def describe(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Mean, median, extremes, range, sum, sample variance and deviation, standard error; skewness and excess kurtosis over
     the sample deviation, 0 below 3 and 4 values."""
     x, n = F.col(value), F.col("n")
-    out = rows.where(x.isNotNull()).groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("stddev"), F.skewness(x).alias("__s"), F.kurtosis(x).alias("__k"))
+    out = rows.where(x.isNotNull()).groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("stddev"), F.skewness(x).alias("__s"), F.kurtosis(x).alias("__k"))
+    out = out.join(percentiles(rows, value, group, {"median": 0.5}), F.col(group).eqNullSafe(F.col("__key")))
     shrink = (n - 1) / n
     return out.select(group, "n", "mean", "median", "min", "max", (F.col("max") - F.col("min")).alias("range"), "sum", "variance", "stddev", (F.col("stddev") / F.sqrt(n.cast("double"))).alias("std_error"), F.when(n < 3, 0.0).otherwise(F.col("__s") * F.pow(shrink, F.lit(1.5))).alias("skewness"), F.when(n < 4, 0.0).otherwise((F.col("__k") + 3) * shrink * shrink - 3).alias("kurtosis"))
 
@@ -19,15 +21,12 @@ def describe(rows: DataFrame, group: str, value: str) -> DataFrame:
 def index_quartiles(rows: DataFrame, group: str, value: str) -> DataFrame:
     """q1 and q3 as the values at n // 4 and 3n // 4 of the sorted list, and the number beyond 1.5 ranges of them.
 
-    Places come from counts of distinct values, so that a group with most of the rows is not sorted row by row in a task."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy(group).orderBy(value))
-    placed = counts.withColumns({"hi": upto, "n": F.sum("c").over(W.partitionBy(group))})
-    at = lambda k: F.max(F.when((F.floor(k) >= F.col("hi") - F.col("c")) & (F.floor(k) < F.col("hi")), F.col(value)))
-    quartiles = placed.groupBy(group).agg(F.max("n").alias("n"), at(F.col("n") / 4).alias("q1"), at(3 * F.col("n") / 4).alias("q3"))
-    beyond = counts.join(quartiles, group).withColumn("__iqr", F.col("q3") - F.col("q1"))
-    out = (F.col(value) < F.col("q1") - 1.5 * F.col("__iqr")) | (F.col(value) > F.col("q3") + 1.5 * F.col("__iqr"))
-    return beyond.groupBy(group, "n", "q1", "q3").agg(F.sum(F.when(out, F.col("c")).otherwise(0)).alias("n_outliers"))
+    The places are looked for in ranges of the values, so that no task orders a group; what lies beyond is counted in a scan."""
+    at = values_at(rows, value, group, lambda n: [F.floor(n / 4), F.floor(3 * n / 4)])
+    places = at.select("__key", F.col("__n").alias("n"), F.get("__at", F.lit(0)).alias("q1"), F.get("__at", F.lit(1)).alias("q3"))
+    joined = rows.where(F.col(value).isNotNull()).select(group, value).join(places, F.col(group).eqNullSafe(F.col("__key")))
+    width = 1.5 * (F.col("q3") - F.col("q1"))
+    return joined.groupBy(group, "n", "q1", "q3").agg(F.count_if((F.col(value) < F.col("q1") - width) | (F.col(value) > F.col("q3") + width)).alias("n_outliers"))
 
 
 def trend(rows: DataFrame, group: str, x: str, y: str, ahead: int) -> DataFrame:

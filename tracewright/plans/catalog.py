@@ -137,6 +137,12 @@ def ablation_advantage(spark, sf_dir):
     return evaluation.relative_to(means, "event_type", means.agg(F.min("event_type")).first()[0], "mean")
 
 
+@registered(_VERDICTS + "SELECT lang, coalesce(count(*) FILTER (actual AND predicted) / nullif(count(*) FILTER (actual), 0), 0.0::DOUBLE) AS rule, coalesce(count(*) FILTER (actual AND latency > 1000) / nullif(count(*) FILTER (actual), 0), 0.0::DOUBLE) AS long_text FROM j GROUP BY 1")
+def detection_rates(spark, sf_dir):
+    rows = evaluation.judged(*verdicts(spark, sf_dir), "doc_id")
+    return evaluation.detection_rates(rows, "lang", {"rule": F.col("predicted"), "long_text": F.col("latency") > 1000})
+
+
 @registered("""SELECT r_name, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END)::BIGINT AS building, sum(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END)::BIGINT AS machinery
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
 def rate_pivot(spark, sf_dir):
@@ -313,11 +319,13 @@ def all_words_search(spark, sf_dir):
 
 @registered("SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts::DATE = b.ts::DATE AND a.event_id < b.event_id AND a.ts < b.ts + INTERVAL '1 hour' AND b.ts < a.ts + INTERVAL '1 hour'")
 def interval_overlap(spark, sf_dir):
-    """Pairs of one user's hour-long intervals of a day that overlap."""
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
-    other = rows.select(F.col("event_id").alias("b"), F.col("ts").alias("ts_b"), "user_id", "day")
+    """Pairs of one user's hour-long intervals of a day that overlap: such begin in the same hour or in neighbouring ones, so
+    that an interval meets only those of three hours."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"))
+    other = rows.select(F.col("event_id").alias("b"), F.col("ts").alias("ts_b"), "user_id", "day", "hour")
+    near = rows.withColumn("hour", F.explode(F.sequence(F.col("hour") - 1, F.col("hour") + 1)))
     hour = F.expr("INTERVAL 1 HOUR")
-    return rows.join(other, ["user_id", "day"]).where((F.col("event_id") < F.col("b")) & (F.col("ts") < F.col("ts_b") + hour) & (F.col("ts_b") < F.col("ts") + hour)).select(F.col("event_id").alias("a"), "b")
+    return near.join(other, ["user_id", "day", "hour"]).where((F.col("event_id") < F.col("b")) & (F.col("ts") < F.col("ts_b") + hour) & (F.col("ts_b") < F.col("ts") + hour)).select(F.col("event_id").alias("a"), "b")
 
 
 # Joins and sets
@@ -333,9 +341,9 @@ def semi_lookup(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@registered("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+@registered("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)")
 def anti_lookup(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 480000")
     return table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
@@ -394,11 +402,16 @@ def text_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("characters"), count(r"\S+").alias("words"), count(r"[.!?]+").alias("sentences"))
 
 
-@registered("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, len(w)::INTEGER AS n_words,
-len(list_filter(w, lambda x: list_contains(['bad', 'terrible', 'awful', 'horrible', 'hate', 'worst', 'ugly', 'stupid', 'boring', 'disgusting', 'annoying', 'useless', 'pathetic', 'ridiculous'], x)))::INTEGER AS negative FROM w) SELECT doc_id, n_words, negative FROM c""")
+_LISTED = "len(list_filter(w, lambda x: list_contains({}, x)))"
+_SPAM = " + ".join(f"contains(t, '{x}')::INT" for x in scalars.SPAM)
+
+
+@registered(f"""WITH w AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents WHERE lang = 'en'),
+c AS (SELECT doc_id, len(w)::INTEGER AS n_words, {_LISTED.format(list(scalars.POSITIVE))}::INTEGER AS positive, {_LISTED.format(list(scalars.NEGATIVE))}::INTEGER AS negative, ({_SPAM})::INTEGER AS spam FROM w),
+s AS (SELECT *, (positive - negative) / greatest(n_words, 1) AS score FROM c) SELECT *, CASE WHEN score > 0.1 THEN 'positive' WHEN score < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment FROM s""")
 def sentiment_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", scalars.sentiment(F.col("text")).alias("s"))
-    return rows.select("doc_id", "s.n_words", "s.negative")
+    return rows.select("doc_id", "s.*")
 
 
 @registered("""SELECT c_custkey, 6371.0::DOUBLE * 2 * atan2(sqrt(a), sqrt(1 - a)) AS km FROM (SELECT c_custkey, pow(sin(radians(c_custkey % 90 - 10.0::DOUBLE) / 2), 2) + cos(radians(10.0::DOUBLE)) * cos(radians((c_custkey % 90)::DOUBLE)) * pow(sin(radians(c_custkey % 180 - 20.0::DOUBLE) / 2), 2) AS a FROM customer)""")
