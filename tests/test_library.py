@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import detection
-from tracewright.plans import catalog, knowledge, tools  # noqa: F401
+from tracewright.plans import catalog, knowledge, runs, tools  # noqa: F401
 from tracewright.sources import logs, pack
 from tracewright.sources.sqlite import SqliteSource
 
