@@ -1,39 +1,56 @@
 """Secret scans: a random forest removes false positives from candidate strings.
 
-Everything is a DataFrame operation: candidates by a pattern, dictionary and character transitions from the words of the
-whole corpus, the forest from pyspark.ml.
+Everything is a DataFrame operation: candidates by patterns, dictionary and character transitions from the words of the
+whole corpus, the forest from pyspark.ml. Candidates are keys of a known form, strings of 6 characters or more that are
+assigned to a telling name or stand as the password of a URL, and all runs of 16 or more key characters; a key inside a
+longer run is a candidate of its own beside the run. Length is a feature of the forest.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import bounded, indices, saved, whole
 from tracewright.llm.decontamination import plain_words
 from tracewright.llm.spans import matches
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 #: Neighbouring words that tell a secret, and those that tell something else.
 TELLING = "token|secret|passw|pwd|key|auth|credential|bearer"
 OTHERWISE = "sha|commit|md5|uuid|digest|checksum|etag|example|dummy|test"
 PATHS = "test|example|doc|sample|fixture|mock"
+#: Public forms of keys (AWS, GitHub, Slack, Google, web tokens).
+KEYS = (
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[opsu]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"
+    r"|eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+)
+KEY = rf"(?<![A-Za-z0-9])(?:{KEYS})"
+ASSIGNED = rf"(?<=[=:\x20\"'])(?<=[=:][\x20\"']{{0,3}}|[Rr]\x20)(?<=(?i:{TELLING})[A-Za-z_]{{0,16}}[\"']?\x20{{0,2}}[=:]\x20{{0,2}}[\"']?|(?i:bearer)\x20)[^\s\"'`<>,;]{{5,}}[^\s\"'`<>,;.)\]}}]"
+IN_URL = r"(?<=:)(?<=://[^\s/:@]{1,40}:)[^\s/@]{6,}+(?=@)"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
+NOT_SECRET = rf"(^|[^a-z])({OTHERWISE})[a-z0-9_]*\W*$"
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+CANDIDATE = f"{KEY}|{ASSIGNED}|{IN_URL}|{RUN}"
 #: A word is in the dictionary from this share of all words on, so that it has at most the inverse number of entries.
 DICTIONARY_SHARE, DICTIONARY_COUNT = 1e-6, 5
-SAMPLE_ROWS, TREES, DEPTH, SEED = 10_000, 30, 6, 7
-FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_hex", "f_distinct", "f_transitions", "f_dictionary", "f_path", "f_assigned", "f_telling", "f_otherwise", "f_quoted"]
+SAMPLE_ROWS, EXAMPLES, TREES, DEPTH, SEED = 10_000, 4_000, 30, 8, 7
+FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_symbols", "f_hex", "f_uuid", "f_key", "f_distinct", "f_transitions", "f_dictionary", "f_path", "f_assigned", "f_telling", "f_otherwise", "f_quoted"]
 
 
 def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
     """doc_id, start, end, value, before (40 characters), after (8), path of each candidate. Null texts have none."""
     text = whole(F.col("text"))
     where = F.coalesce(path.cast("string"), F.lit("")) if path is not None else F.lit("")
-    rows = docs.select("doc_id", text.alias("__text"), where.alias("path")).select("doc_id", "path", "__text", F.explode(matches(F.col("__text"), CANDIDATE)).alias("s"))
+    found = matches(F.col("__text"), CANDIDATE)
+    inner = F.when(F.col("__text").rlike(rf"[+/_-](?:{KEYS})"), F.array_distinct(F.concat(found, matches(F.col("__text"), KEY)))).otherwise(found)
+    rows = docs.select("doc_id", text.alias("__text"), where.alias("path")).select("doc_id", "path", "__text", F.explode(inner).alias("s"))
     first = F.greatest(F.col("s.start") - 40, F.lit(0))
     return rows.select("doc_id", "path", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.substring("__text", first + 1, F.col("s.start") - first).alias("before"), F.substring("__text", F.col("s.end") + 1, F.lit(8)).alias("after"))
 
@@ -69,7 +86,10 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         share("[0-9]").alias("f_digits"),
         share("[A-Z]").alias("f_upper"),
         share("[a-z]").alias("f_lower"),
-        value.rlike("^[0-9a-f]+$").cast("double").alias("f_hex"),
+        share("[^A-Za-z0-9]").alias("f_symbols"),
+        value.rlike("^[0-9a-fA-F]+$").cast("double").alias("f_hex"),
+        value.rlike(UUID).cast("double").alias("f_uuid"),
+        value.rlike(f"^(?:{KEYS})$").cast("double").alias("f_key"),
         (F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(40))).alias("f_distinct"),
         (F.coalesce("covered", F.lit(0)) / n).alias("f_dictionary"),
     )
@@ -78,26 +98,67 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         "f_path": F.lower("path").rlike(PATHS).cast("double"),
         "f_assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double"),
         "f_telling": before.rlike(rf"({TELLING})[a-z_]*\W*$").cast("double"),
-        "f_otherwise": before.rlike(rf"({OTHERWISE})[a-z0-9_]*\W*$").cast("double"),
+        "f_otherwise": before.rlike(NOT_SECRET).cast("double"),
         "f_quoted": (F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).cast("double"),
     })
     return near.join(bounded(own), "value")
 
 
 def stated_findings(found: DataFrame) -> DataFrame:
-    """Labels for candidates whose nature is plain: assigned to a telling name or in the form of an access key (1), plain words
-    or numbers (0). For corpora without reviewed findings; the forest decides on all others."""
-    named = F.lower("before").rlike(rf"({TELLING})[a-z_]*\s*[\"']?\s*[=:]\s*[\"']?$") & F.col("value").rlike("[0-9]")
-    key = F.col("value").rlike("^AKIA[A-Z0-9]{16}$")
-    plain = F.col("value").rlike("^[A-Za-z_/-]+$|^[0-9-]+$")
-    return found.withColumn("label", F.when(named | key, 1).when(plain, 0).cast("int")).where(F.col("label").isNotNull())
-
-
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> PipelineModel | None:
-    """The forest, from at most sample_rows labelled findings of each class: those with the least hash. None without both."""
+    """Labels for candidates whose nature is plain, for corpora without reviewed findings; the forest decides on all others.
+    1: keys of a known form, and strings with a digit that are assigned to a telling name. 0: UUIDs, what follows a word for
+    something else (a digest, a commit, an example), plain words, paths and numbers."""
+    value, before = F.col("value"), F.lower("before")
+    other = value.rlike(UUID) | before.rlike(NOT_SECRET)
+    named = before.rlike(rf"({TELLING})[a-z_]*[\"']?\s*[=:]\s*[\"']?$") & value.rlike("[0-9]")
+    plain = value.rlike("^[A-Za-z_/-]+$|^[0-9-]+$")
+    label = F.when(value.rlike(f"^(?:{KEYS})$"), 1).when(other, 0).when(named, 1).when(plain, 0)
+    return found.withColumn("label", label.cast("int")).where(F.col("label").isNotNull())
+
+
+def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
+    """n labelled findings made by a rule, so that the forest meets digests, commits, UUIDs, paths and placeholders as well as
+    secrets of each kind, whatever the corpus holds. Columns of candidates() and label; the same at each run."""
+    hexes = F.sha2(F.concat(F.lit("example:"), F.col("id").cast("string")), 256)
+    letters = F.translate(F.base64(F.unhex(hexes)), "+/=", "xyz")
+    part = lambda text, first, k: F.substring(text, first, k)
+    joined = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    uuid = F.concat_ws("-", part(hexes, 1, 8), part(hexes, 9, 4), part(hexes, 13, 4), part(hexes, 17, 4), part(hexes, 21, 12))
+    upper = F.upper(F.translate(hexes, "0189", "gjkm"))
+    kinds = [
+        (1, 'token = "', part(hexes, 1, 40), '" end', ""),
+        (1, "secret: ", part(letters, 1, 24), " end", ""),
+        (1, "password = '", joined(part(letters, 1, 6), "!", part(hexes, 1, 2)), "' end", ""),
+        (1, "pwd=", joined(part(letters, 3, 5), "@", part(hexes, 5, 4)), " end", ""),
+        (1, "api_key=", F.base64(F.unhex(hexes)), " end", ""),
+        (1, "the id is ", joined("AKIA", part(upper, 1, 16)), " end", ""),
+        (1, "log in with ", joined("ghp_", part(letters, 1, 36)), " end", ""),
+        (1, "Authorization: Bearer ", joined("eyJ", part(letters, 1, 17), ".", part(letters, 9, 30), ".", letters), " end", ""),
+        (1, "postgres://admin:", joined(part(letters, 1, 8), "9"), "@db.int", ""),
+        (0, 'token = "', part(hexes, 1, 40), '" end', "tests/fixtures/login.json"),
+        (0, 'example_token = "', part(hexes, 1, 40), '" end', ""),
+        (0, "fixed in commit ", part(hexes, 1, 40), " by", ""),
+        (0, "sha256: ", hexes, " end", ""),
+        (0, 'md5 = "', part(hexes, 1, 32), '" end', ""),
+        (0, "etag: ", part(hexes, 1, 32), " end", ""),
+        (0, "uuid = ", uuid, " end", ""),
+        (0, "request ", uuid, " end", ""),
+        (0, "see ", joined("/usr/lib/python/", part(hexes, 1, 2), "/site-packages"), " end", ""),
+        (0, "password: ", joined("your-password-here"), " end", ""),
+        (0, "secret = ", F.repeat(F.lit("x"), 8 + F.col("id").cast("int") % 9), " end", ""),
+        (0, "number ", F.conv(part(hexes, 1, 14), 16, 10), " end", ""),
+    ]
+    rows = [F.struct(F.lit(None).cast("long").alias("doc_id"), F.lit(path).alias("path"), F.col("id").cast("int").alias("start"), (F.col("id").cast("int") + F.length(value)).alias("end"), value.alias("value"), F.lit(before).alias("before"), F.lit(after).alias("after"), F.lit(label).alias("label")) for label, before, value, after, path in kinds]
+    return spark.range(n).select(F.element_at(F.array(*rows), (F.col("id") % len(rows) + 1).cast("int")).alias("e")).select("e.*")
+
+
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, beside: DataFrame | None = None) -> PipelineModel | None:
+    """The forest, from at most sample_rows labelled findings of each class, those with the least hash, and all of those
+    beside. None without both classes."""
     order = [F.xxhash64("value", "before"), F.col("doc_id"), F.col("start")]
-    both = [labelled.where(F.col("label") == y).orderBy(*order).limit(sample_rows) for y in (0, 1)]
-    sample = saved(both[0].unionByName(both[1]).select("label", *FEATURES).coalesce(1).sortWithinPartitions("label", *FEATURES))
+    parts = [labelled.where(F.col("label") == y).orderBy(*order).limit(sample_rows).select("label", *FEATURES) for y in (0, 1)]
+    parts += [beside.select("label", *FEATURES)] if beside is not None else []
+    sample = saved(reduce(DataFrame.unionByName, parts).coalesce(1).sortWithinPartitions("label", *FEATURES))
     if sample.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
@@ -107,13 +168,16 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> PipelineModel |
 def scan(docs: DataFrame, path: Column | None = None, findings: DataFrame | None = None, train_on: Column | None = None) -> DataFrame:
     """doc_id, start, end, value, score and is_secret (score >= 0.5) of every candidate in every text.
 
-    findings (doc_id, start, label) are reviewed findings to learn from; without them the plain cases are labelled by
-    stated_findings. train_on limits the candidates that may be learned from. Repeated rows give repeated findings; without
-    findings of both classes the score is null and nothing is removed (is_secret is true)."""
-    found = saved(featured(saved(candidates(docs, path)), saved(dictionary(docs))))
+    findings (doc_id, start, label) are reviewed findings to learn from, and then the only ones; without them the plain cases
+    are labelled by stated_findings, with examples() beside them. train_on limits the candidates that may be learned from.
+    Repeated rows give repeated findings; where the reviewed findings lack a class the score is null and nothing is removed
+    (is_secret is true)."""
+    own, none = candidates(docs, path), F.lit(None).cast("int")
+    made = examples(docs.sparkSession).withColumn("doc_id", F.lit(None).cast(own.schema["doc_id"].dataType))
+    every = saved(featured(saved(own.withColumn("label", none).unionByName(made)), saved(dictionary(docs))))
+    found, beside = every.where("label IS NULL").drop("label"), every.where("label IS NOT NULL")
     pool = found if train_on is None else found.where(train_on)
-    labelled = stated_findings(pool) if findings is None else pool.join(findings.select("doc_id", "start", "label"), ["doc_id", "start"])
-    model = fit(labelled)
+    model = fit(stated_findings(pool), beside=beside) if findings is None else fit(pool.join(findings.select("doc_id", "start", "label"), ["doc_id", "start"]))
     if model is None:
         out = found.withColumn("score", F.lit(None).cast("double"))
     else:
