@@ -37,7 +37,8 @@ IN_URL = r"(?<=:)(?<=://[^\s/:@]{1,40}:)[^\s/@]{6,}+(?=@)"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 NOT_SECRET = rf"(^|[^a-z])({OTHERWISE})[a-z0-9_]*\W*$"
 UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
-CANDIDATE = f"{KEY}|{ASSIGNED}|{IN_URL}|{RUN}"
+#: No form starts behind a letter or digit, which is told first.
+CANDIDATE = f"(?<![A-Za-z0-9])(?:{KEYS}|{ASSIGNED}|{IN_URL}|{RUN})"
 #: A word is in the dictionary from this share of all words on, so that it has at most the inverse number of entries.
 DICTIONARY_SHARE, DICTIONARY_COUNT = 1e-6, 5
 SAMPLE_ROWS, EXAMPLES, TREES, DEPTH, SEED = 10_000, 4_000, 30, 8, 7
