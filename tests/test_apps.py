@@ -3,6 +3,8 @@
 import json
 import sqlite3
 
+import pytest
+
 from tracewright.sources import apps
 
 CALL = "<use_mcp_tool>\n<server_name>git</server_name>\n<tool_name>log</tool_name>\n<arguments>{args}</arguments>\n</use_mcp_tool>"
@@ -94,6 +96,31 @@ def test_opencode(spark, tmp_path):
     assert [(t.name, t.server, t.arguments, t.result, t.status, t.error) for t in got[1].tools] == [("git_log", "git", '{"n":1}', "done", "success", None), ("bash", None, "{}", "no", "error", "no")]
 
 
+@pytest.mark.parametrize("layout", ["projects", "legacy"])
+def test_opencode_tree(spark, tmp_path, layout):
+    new = layout == "projects"
+    session = "session/p1/ses_1.json" if new else "session/info/ses_1.json"
+    message, part = ("message/ses_1", "part") if new else ("session/message/ses_1", "session/part/ses_1")
+    files = {
+        session: {"id": "ses_1", "directory": "/p", "time": {"created": 1704067200000, "updated": 1704067201000}},
+        f"{message}/m1.json": {"role": "user"},
+        f"{message}/m2.json": {"id": "m2", "role": "assistant", "modelID": "big", "parts": [{"type": "text", "text": "one"}, {"type": "text", "text": "two"}]},
+        f"{message}/m3.json": {"id": "m3", "role": "assistant"},
+        f"{part}/m1/b.json": {"type": "file", "filename": "a.txt"},
+        f"{part}/m1/a.json": {"type": "text", "text": "look"},
+        f"{part}/m2/a.json": {"type": "text", "text": "lost"},
+        f"{part}/m3/a.json": {"type": "tool", "tool": "git_log", "state": {"status": "completed", "input": {"n": 1}, "output": "done"}},
+    }
+    for name, value in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(value, indent=1))
+    (tmp_path / message / "m4.json").write_text("{broken")
+    got = apps.opencode_tree(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.session_id, r.role, r.content, r.cwd, r.model) for r in got] == [("opencode_1", "user", "look\n\n[Attached file: a.txt]", "/p", "big"), ("opencode_1", "assistant", "one\n\ntwo", "/p", "big"), ("opencode_1", "assistant", apps.USED_TOOLS, "/p", "big")]
+    assert [(t.name, t.server, t.arguments, t.result, t.status) for t in got[2].tools] == [("git_log", "git", '{"n":1}', "done", "success")]
+    assert not apps.opencode_tree(spark, str(tmp_path), since_ms=4102444800000).collect()
+
+
 def test_read(spark, tmp_path):
     rows = [{"type": "assistant", "sessionId": "s", "timestamp": "2024-01-01T00:00:01Z", "message": {"content": [{"type": "tool_use", "id": "t1", "name": "mcp__fs__read", "input": {"path": "a"}}]}}, {"type": "user", "sessionId": "s", "message": {"content": [{"type": "tool_result", "tool_use_id": "t1", "content": "done"}]}}]
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))

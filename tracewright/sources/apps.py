@@ -180,24 +180,19 @@ def _part_tool(p: Column) -> Column:
     return F.when(text("$.type") == "tool", now).when(text("$.type") == "tool-invocation", old)
 
 
-def opencode(spark: SparkSession, path: str, since_ms: int | None = None, built_in: tuple[str, ...] = ()) -> DataFrame:
-    """Sessions, messages and their parts. The model is the session's, else the first that an assistant's message names; tools
-    named server_tool belong to that server unless they are listed as built in."""
-    sessions = _table(spark, path, "session", "id string, directory string, model string, time_created long, time_updated long").where("coalesce(id, '') <> ''")
-    if since_ms:
-        sessions = sessions.where(F.col("time_updated") >= since_ms)
-    messages = _table(spark, path, "message", "id string, session_id string, time_created long, data string").withColumn("v", F.try_parse_json("data")).where("v IS NOT NULL")
-    parts = _table(spark, path, "part", "id string, message_id string, session_id string, time_created long, data string").withColumn("p", F.try_parse_json("data")).where("p IS NOT NULL")
-    parts = parts.select("message_id", F.col("session_id").alias("sid"), F.struct("time_created", "id", _part_text(F.col("p")).alias("text"), _part_tool(F.col("p")).alias("tool")).alias("x"))
-    ordered = F.array_sort(F.collect_list("x"), lambda a, b: F.when(F.struct(a["time_created"], a["id"]) < F.struct(b["time_created"], b["id"]), -1).otherwise(1))
+def _opencode(sessions: DataFrame, messages: DataFrame, parts: DataFrame, built_in: tuple[str, ...]) -> DataFrame:
+    """Messages from sessions (id, file, directory, model, time_created, time_updated), messages (id, session_id, place, v) and
+    their parts (message_id, sid, place, p; all parts of a message with a null sid belong to the message whatever its session)."""
+    parts = parts.select("message_id", "sid", F.struct("place", _part_text(F.col("p")).alias("text"), _part_tool(F.col("p")).alias("tool")).alias("x"))
+    ordered = F.array_sort(F.collect_list("x"), lambda a, b: F.when(a["place"] < b["place"], -1).otherwise(1))
     parts = parts.groupBy("message_id", "sid").agg(ordered.alias("parts"))
     role = F.coalesce(filled(_get("v", "$.role")), F.lit("assistant"))
     whole = W.partitionBy("session_id")
-    rows = messages.withColumns({"role": role, "seq": F.row_number().over(whole.orderBy("time_created", "id")) - 1})
+    rows = messages.withColumns({"role": role, "seq": F.row_number().over(whole.orderBy("place")) - 1})
     named = F.when(F.col("role") == "assistant", filled(_get("v", "$.modelID")))
     rows = rows.withColumn("first_model", F.min_by(named, F.when(named.isNotNull(), F.col("seq"))).over(whole))
-    rows = rows.join(parts, (F.col("id") == F.col("message_id")) & (F.col("session_id") == F.col("sid")), "left")
-    own = sessions.select(F.col("id").alias("own_id"), "directory", F.col("model").alias("own_model"), F.coalesce("time_updated", "time_created").cast("string").alias("at"))
+    rows = rows.join(parts, (F.col("id") == F.col("message_id")) & (F.col("sid").isNull() | (F.col("session_id") == F.col("sid"))), "left")
+    own = sessions.select(F.col("id").alias("own_id"), "file", "directory", F.col("model").alias("own_model"), F.coalesce("time_updated", "time_created").cast("string").alias("at"))
     rows = rows.join(own, F.col("session_id") == F.col("own_id"))
     parsed = F.try_parse_json("own_model")
     from_json = F.coalesce(F.try_variant_get(parsed, "$.id", "string"), F.try_variant_get(parsed, "$.modelID", "string"))
@@ -207,7 +202,7 @@ def opencode(spark: SparkSession, path: str, since_ms: int | None = None, built_
         tools = F.transform(tools, lambda t: t.withField("server", F.when(~t["name"].isin(*built_in), t["server"])))
     rows = rows.select(
         F.concat(F.lit("opencode_"), F.regexp_replace("session_id", "^ses_", "")).alias("session_id"),
-        F.lit(path).alias("file"),
+        "file",
         "seq",
         scalars.normal_timestamp(F.col("at")).alias("ts"),
         filled(F.col("directory")).alias("cwd"),
@@ -219,6 +214,42 @@ def opencode(spark: SparkSession, path: str, since_ms: int | None = None, built_
     return _said(rows)
 
 
+def opencode(spark: SparkSession, path: str, since_ms: int | None = None, built_in: tuple[str, ...] = ()) -> DataFrame:
+    """Sessions, messages and their parts from the database. The model is the session's, else the first that an assistant's
+    message names; tools named server_tool belong to that server unless they are listed as built in."""
+    sessions = _table(spark, path, "session", "id string, directory string, model string, time_created long, time_updated long").where("coalesce(id, '') <> ''")
+    if since_ms:
+        sessions = sessions.where(F.col("time_updated") >= since_ms)
+    messages = _table(spark, path, "message", "id string, session_id string, time_created long, data string").withColumn("v", F.try_parse_json("data")).where("v IS NOT NULL")
+    parts = _table(spark, path, "part", "id string, message_id string, session_id string, time_created long, data string").withColumn("p", F.try_parse_json("data")).where("p IS NOT NULL")
+    place = F.struct("time_created", "id").alias("place")
+    return _opencode(sessions.withColumn("file", F.lit(path)), messages.select("id", "session_id", place, "v"), parts.select("message_id", F.col("session_id").alias("sid"), place, "p"), built_in)
+
+
+def opencode_tree(spark: SparkSession, path: str, since_ms: int | None = None, built_in: tuple[str, ...] = ()) -> DataFrame:
+    """The older store: a JSON file for each session, message and part, ordered by file name; ids of messages that name none come
+    from the file name. Parts within a message win over files of parts. Both layouts are read: session/<project>/, message/ and
+    part/<message>/, or session/info/, session/message/ and session/part/<session>/<message>/. since_ms leaves out sessions whose
+    file is older; files that are no JSON are skipped."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    files = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    found = lambda pattern, group: F.regexp_extract("file", pattern, group)
+    session, message, part = r"/session/(?!message/|part/)[^/]+/[^/]+\.json$", r"/message/([^/]+)/([^/]+)\.json$", r"/part/(?:([^/]+)/)?([^/]+)/([^/]+)\.json$"
+    sessions = files.where(F.col("file").rlike(session)).select(
+        filled(_get("v", "$.id")).alias("id"), "file", "changed", _get("v", "$.directory").alias("directory"), _json(F.try_variant_get("v", "$.model", "variant")).alias("model"),
+        _get("v", "$.time.created", "long").alias("time_created"), _get("v", "$.time.updated", "long").alias("time_updated"),
+    ).where("id IS NOT NULL")
+    if since_ms:
+        sessions = sessions.where(F.col("changed") >= F.timestamp_millis(F.lit(since_ms)))
+    messages = files.where(F.col("file").rlike(message)).select(F.coalesce(filled(_get("v", "$.id")), found(message, 2)).alias("id"), found(message, 1).alias("session_id"), F.struct(found(message, 2).alias("name")).alias("place"), "v")
+    inside = messages.select("id", "session_id", F.posexplode(F.try_variant_get("v", "$.parts", "array<variant>")).alias("k", "p"))
+    inside = inside.select(F.col("id").alias("message_id"), F.col("session_id").alias("sid"), F.struct("k", F.lit("").alias("name")).alias("place"), "p")
+    beside = files.where(F.col("file").rlike(part)).select(found(part, 2).alias("message_id"), filled(found(part, 1)).alias("sid"), F.struct(F.lit(0).alias("k"), found(part, 3).alias("name")).alias("place"), F.col("v").alias("p"))
+    embedding = inside.select(F.col("message_id").alias("m"), F.col("sid").alias("s")).distinct()
+    beside = beside.join(embedding, (F.col("message_id") == F.col("m")) & (F.col("sid").isNull() | (F.col("sid") == F.col("s"))), "left_anti")
+    return _opencode(sessions, messages, inside.unionByName(beside), built_in)
+
+
 def with_tools(messages: DataFrame) -> DataFrame:
     """Messages of the line readers with their calls and results put together as tools."""
     empty = F.lit(None).cast("string")
@@ -252,7 +283,7 @@ def desktop(spark: SparkSession, path: str, since_ms: int | None = None) -> Data
     return _said(rows)
 
 
-SOURCES = {"claude": lambda spark, path: with_tools(logs.claude(spark, path)), "codex": lambda spark, path: with_tools(logs.codex(spark, path)), "claude_desktop": desktop, "cline": cline, "cursor": cursor, "warp": warp, "opencode": opencode}
+SOURCES = {"claude": lambda spark, path: with_tools(logs.claude(spark, path)), "codex": lambda spark, path: with_tools(logs.codex(spark, path)), "claude_desktop": desktop, "cline": cline, "cursor": cursor, "warp": warp, "opencode": opencode, "opencode_tree": opencode_tree}
 
 
 def read(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
