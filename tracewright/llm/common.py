@@ -54,6 +54,14 @@ def indices(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"__{name}").lower() in taken:
+        pass
+    return name
+
+
 def _octets(df: DataFrame, name: str) -> Column:
     """About the bytes of a column in a row: of nested ones as JSON, of others 8 or their own length."""
     kind, value = dict(df.dtypes)[name], F.col(f"`{name}`")

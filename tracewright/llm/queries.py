@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontamination, mixing, pii, quality, rules, secret_scan, simhash, suffix_tree, toxicity, urls
-from tracewright.llm.common import fold, read, stored
+from tracewright.llm import decontamination, divergence, mixing, pii, quality, rules, secret_scan, simhash, spelling, suffix_tree, token_counts, toxicity, urls
+from tracewright.llm.common import fold, read, shared_folder, stored
 
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 POLICY = "v1"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +74,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == quality.HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, which is empty at first: all distinct texts are misses."""
+    import public_tokenizers
+
+    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    rows = token_counts.counted(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), cache)
+    return rows.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_pii, op3_mixing, op4_toxicity, op5_secrets, op6_quality_rules, op6_rule_ablation, op6_policies, op7_url_filters, op8_simhash, op9_suffix_tree, op10_quality_classifier]
+    own = [op1_decontamination, op2_pii, op3_mixing, op4_toxicity, op5_secrets, op6_quality_rules, op6_rule_ablation, op6_policies, op7_url_filters, op8_simhash, op9_suffix_tree, op10_quality_classifier, op11_source_divergence, op12_token_counts, op13_spelling_variants]
     return {f.__name__: f for f in own}
 
 
@@ -127,6 +146,35 @@ p AS (SELECT row_number() OVER () AS row, page_id, translate(regexp_extract(coal
 m AS (SELECT p.row, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (row)"""
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS size FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(max(s), 0)::HUGEINT AS size FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS s FROM c GROUP BY 1, 2) USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.size + v.v) AS p, 1 + 1000000000::HUGEINT * (k.total + 1) // (v.size + v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pairs LEFT JOIN f USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 200"""
+
+OP13 = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) x(i))),
+t AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+u AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS h FROM t GROUP BY 1, 2),
+x AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i : i + 1])::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM u, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM x GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+i AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w),
+o AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS less, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole FROM i),
+p AS (SELECT o.word AS a, w.word AS b FROM o JOIN w ON o.less = w.word UNION SELECT w.word, o.word FROM o JOIN w ON o.less = w.word UNION SELECT a.word, b.word FROM o a JOIN o b USING (hole) WHERE a.word <> b.word),
+s AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM p JOIN w ON b = w.word GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM w LEFT JOIN s USING (word)),
+z AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, z.root FROM f JOIN z ON f.form = z.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op3_mixing": OP3, "op6_quality_rules": OP6_ROWS, "op6_rule_ablation": OP6_ABLATION, "op6_policies": OP6_POLICIES, "op7_url_filters": OP7}
+    return {"op1_decontamination": OP1, "op3_mixing": OP3, "op6_quality_rules": OP6_ROWS, "op6_rule_ablation": OP6_ABLATION, "op6_policies": OP6_POLICIES, "op7_url_filters": OP7, "op11_source_divergence": OP11, "op13_spelling_variants": OP13}
