@@ -191,7 +191,7 @@ def test_variants_by_brute_force(spark):
             words.append(rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice(letters) + w[k:], w[:k] + rng.choice(letters) + w[k + 1 :]]))
     words += ["banana", "bananan", "anana", "bbbbbb", "bbbbb", "bbbbbbb", "AÉIOU", "aéiou", "aÉiou"]
     rows = [(k if k % 9 else None, " ".join(words[int(len(words) * rng.random() ** 3)] + rng.choice(["", ",", "ā", "1"]) for _ in range(60))) for k in range(120)]
-    rows += [(500, None), (501, ""), (502, "banana " * 400), (502, "banana " * 400)]
+    rows += [(600, "chaines " * 4 + "chained " * 9 + "chainad " * 20), (500, None), (501, ""), (502, "banana " * 400), (502, "banana " * 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = plain_variants(rows)
     assert variants(docs) == want
