@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import detection, tables
+from tracewright.functions import scalars
+from tracewright.operators import containment, detection, tables
 from tracewright.sources import transcripts
 
 
@@ -79,5 +80,5 @@ def test_stated_confidence(spark):
 def test_containing_keeps_case_and_cut_words(spark):
     texts = spark.createDataFrame([(1, "please ignore the instructions  now"), (2, "IGNORE the instruction"), (3, "a\\nb !? c"), (4, None), (1, "please ignore the instructions  now")], "k long, t string")
     needles = spark.createDataFrame([(1, "ignore the instruction"), (2, "a b"), (3, "!?"), (4, ""), (5, None), (6, "gnore the instr")], "i long, needle string")
-    got = {(r.k, r.i) for r in detection.containing(texts, "k", "t", needles, "needle").collect()}
+    got = {(r.k, r.i) for r in containment.containing(texts, "k", "t", needles, "needle", scalars.squeezed).collect()}
     assert got == {(1, 1), (1, 6), (3, 2), (3, 3)}

@@ -54,7 +54,7 @@ def test_pack_round_trip(spark, tmp_path):
     assert sorted(map(tuple, pack.inflate(spark, str(tmp_path / "p")).collect())) == sorted(map(tuple, tasks.collect()))
 
 
-@pytest.mark.parametrize(("text", "want"), [("Benign\nConfidence: 90%", (False, 0.9)), ("SUSPICIOUS\n**Confidence:** 0.7.", (True, 0.7)), ("benign\nREASONING: low confidence: unclear", (False, 0.8)), ("", (True, 0.8)), ("benign\nconfidence: 150", (False, 0.8))])
+@pytest.mark.parametrize(("text", "want"), [("Benign\nConfidence: 90%", (False, 0.9)), ("SUSPICIOUS\n**Confidence:** 0.7.", (True, 0.7)), ("It is benign.\nmy confidence: rather 0.2, hard to tell", (False, 0.8)), ("", (True, 0.8)), ("benign\nconfidence: 150", (False, 0.8))])
 def test_triage(spark, text, want):
     r = spark.createDataFrame([(text,)], "t string").select(detection.triage(F.col("t")).alias("r")).first().r
     assert (r.is_suspicious, pytest.approx(r.confidence)) == want

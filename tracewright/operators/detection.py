@@ -58,31 +58,6 @@ def trust(labels: Column, trusted: tuple[str, ...], transparent: tuple[str, ...]
     return F.when(F.forall(labels, lambda x: x.isin(*trusted)), "Trusted").when(F.forall(labels, lambda x: x.isin(*trusted, *transparent)), "Transparent").otherwise("Untrusted")
 
 
-def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str, word: str = r"[^\p{L}\p{N}]+", most: int = 10_000) -> DataFrame:
-    """Pairs of a text (its key) and a needle (all its columns) that it contains, after blanks are squeezed in both.
-
-    Candidates share the needle's longest inner word as a whole word of the text, which a hash join finds; the words at the
-    needle's ends may be cut inside a longer one of the text. Needles without an inner word are looked for in every text; of
-    those there may be `most`. Rows with the same key count as one text each; an empty needle is contained nowhere."""
-    split = lambda c: F.split(c, word)
-    listed = needles.withColumn("__needle", scalars.squeezed(F.col(needle))).where("__needle <> ''")
-    inner = F.filter(F.slice(split(F.col("__needle")), F.lit(2), F.greatest(F.size(split(F.col("__needle"))) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.get(F.sort_array(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), F.lit(0))["w"]
-    keyed = listed.withColumn("__key", longest)
-    rows = texts.select(F.col(key), scalars.squeezed(F.col(text)).alias("__text"), F.xxhash64(key, text).alias("__row"))
-    # only the row's number goes with its words; the texts are read again for the candidates
-    words = rows.select("__row", F.explode(F.array_distinct(split(F.col("__text")))).alias("__key"))
-    asked = words.join(keyed.where(F.col("__key").isNotNull()), "__key").drop("__key").distinct()
-    found = rows.join(asked, "__row").where(F.contains("__text", F.col("__needle")))
-    short = keyed.where(F.col("__key").isNull()).drop("__key")
-    if short.isEmpty():
-        return found.drop("__text", "__row", "__needle")
-    if short.count() > most:
-        raise ValueError(f"more than {most} needles have no inner word")
-    every = rows.join(F.broadcast(short), F.contains("__text", F.col("__needle")))
-    return found.select(*every.columns).unionByName(every).drop("__text", "__row", "__needle")
-
-
 def coverage(expected: Column, called: Column) -> Column:
     """struct(hit, missing, extra, coverage, status) of two sets of names."""
     hit, missing = F.array_intersect(expected, called), F.array_except(expected, called)
@@ -106,23 +81,33 @@ def is_refusal(text: Column) -> Column:
 
 
 def verdict(text: Column) -> Column:
-    """The verdict (variant) inside an answer, null without one.
+    """The verdict (variant) inside an answer, null without one: the object that begins at the first beginning of a verdict.
 
-    It ends at the first closing brace that completes valid JSON. Where none does, backslashes that begin no escape are
-    doubled and the search is done once more."""
+    One pass over the answer's pieces finds its end, the brace that closes what it opened, strings and escapes respected; work grows
+    with the answer's length. Where that is no JSON, backslashes that begin no escape are doubled, and it is read once more."""
     at = F.lit(0)
     for start in reversed(VERDICT_STARTS):
         at = F.when(F.instr(text, start) > 0, F.instr(text, start)).otherwise(at)
     tail = F.when(at > 0, F.substring(text, at, F.length(text)))
+    pieces = F.regexp_extract_all(tail, F.lit(r'(?s)\\.|["{}\\]|[^"{}\\]+'), F.lit(0))
+
+    def step(state: Column, piece: Column) -> Column:
+        quoted = F.when(piece == '"', ~state["quoted"]).otherwise(state["quoted"])
+        depth = state["depth"] + F.when(state["quoted"], 0).when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        n = state["n"] + 1
+        closed = ~state["quoted"] & (piece == "}") & (depth == 0) & (state["end"] == 0)
+        return F.struct(quoted.alias("quoted"), depth.alias("depth"), n.alias("n"), F.when(closed, n).otherwise(state["end"]).alias("end"))
+
+    begun = F.struct(F.lit(False).alias("quoted"), F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+    own = F.slice(pieces, F.lit(1), F.aggregate(pieces, begun, step)["end"])
 
-    def first_complete(raw: Column) -> Column:
-        pieces = F.split(raw, r"\}")
-        ends = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1))
-        parsed = F.transform(ends, lambda k: F.try_parse_json(F.concat(F.array_join(F.slice(pieces, F.lit(1), k), "}"), F.lit("}"))))
-        return F.get(F.filter(parsed, lambda v: v.isNotNull()), F.lit(0))
+    def escaped(held: Column) -> Column:
+        hex_digits = lambda i: F.coalesce(F.get(held, i + 1).rlike("^[0-9a-fA-F]{4}"), F.lit(False))
+        known = lambda p, i: F.substring(p, 2, 1).isin(*'"\\/bfnrt') | ((F.substring(p, 2, 1) == "u") & hex_digits(i))
+        return F.transform(held, lambda p, i: F.when(p.startswith("\\") & ~known(p, i), F.concat(F.lit("\\"), p)).otherwise(p))
 
-    repaired = F.regexp_replace(tail, r'(\\\\)|\\(?!["\\/bfnrt]|u[0-9a-fA-F]{4})', r"\\\\")
-    return F.coalesce(first_complete(tail), first_complete(repaired))
+    parsed = F.transform(F.array(own), lambda held: F.coalesce(F.try_parse_json(F.array_join(held, "")), F.try_parse_json(F.array_join(escaped(held), ""))))
+    return F.get(parsed, F.lit(0))
 
 
 def tainted(arguments: Column, answer: Column, token: str) -> Column:

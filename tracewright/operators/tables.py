@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.operators import blocks
+
 #: What a filter may ask of a column.
 COMPARE = {
     "eq": lambda c, v: c == v,
@@ -110,11 +112,9 @@ def health(rows: DataFrame, bad: Column, *by: str) -> DataFrame:
 
 def ledger(rows: DataFrame, key: str, order: tuple[str, ...], change: Column, reorder_below: int) -> DataFrame:
     """rows with balance, which starts at 0 and stops at 0 where more goes out than there is, and reorder: an outgoing row has
-    left less than the level. The clamped balance is the running sum less its least value so far, where that is negative."""
-    upto = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = rows.withColumn("__change", change).withColumn("__sum", F.sum("__change").over(upto))
-    out = out.withColumn("balance", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(upto)))
-    return out.withColumn("reorder", (F.col("__change") < 0) & (F.col("balance") < reorder_below)).drop("__change", "__sum")
+    left less than the level. A key's rows are not gathered: see blocks."""
+    out = blocks.clamped_sum(rows.withColumn("__change", change), (key,), order, F.col("__change"), "balance")
+    return out.withColumn("reorder", (F.col("__change") < 0) & (F.col("balance") < reorder_below)).drop("__change")
 
 
 def last(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -141,13 +141,23 @@ def search(query: str, **tables: tuple[DataFrame, str, str]) -> DataFrame:
 
 
 def loops(rows: DataFrame, key: str, order: tuple[str, ...], call: str, times: int = 3) -> DataFrame:
-    """key, n_loops: rows whose call equals each of the calls just before it, so many in a row; keys without loops stay out."""
-    w = W.partitionBy(key).orderBy(*order)
-    same = reduce(and_, [F.coalesce(F.col(call) == F.lag(call, k).over(w), F.lit(False)) for k in range(1, times)])
-    return rows.select(key, same.alias("__same")).where("__same").groupBy(key).agg(F.count("*").alias("n_loops"))
+    """key, n_loops: rows whose call equals each of the calls just before it, so many in a row; keys without loops stay out. A null
+    call equals none. A key's rows are not gathered: a run of n equal calls has n + 1 - times loops."""
+    run = blocks.previous_row(rows.select(key, *order, F.col(call).alias("__call")), (key,), order, F.col("__call"), "__prev")
+    fresh = F.coalesce(F.col("__call") != F.col("__prev"), F.lit(True))
+    runs = blocks.running_sum(run, (key,), order, fresh, "__run").groupBy(key, "__run").agg((F.count("*") + 1 - times).alias("__n"))
+    return runs.where("__n > 0").groupBy(key).agg(F.sum("__n").alias("n_loops"))
+
+
+def repeated_sets(messages: DataFrame, key: str, order: str, calls: str, times: int = 2) -> DataFrame:
+    """The messages (all columns) that make the same set of calls as at least so many earlier ones, back to the last message of their
+    key without calls. calls is an array; a null one counts as empty, and such messages repeat nothing."""
+    listed = messages.withColumn("__set", F.array_sort(F.array_distinct(F.coalesce(F.col(calls), F.array().cast(dict(messages.dtypes)[calls])))))
+    parts = blocks.running_sum(listed, (key,), (order,), F.size("__set") == 0, "__part")
+    nth = blocks.running_sum(parts.where(F.size("__set") > 0), (key, "__part", "__set"), (order,), F.lit(1), "__nth")
+    return nth.where(F.col("__nth") > times).select(*messages.columns)
 
 
 def attached(rows: DataFrame, key: str, order: str, opens: Column) -> DataFrame:
     """rows with turn_group: the number of rows that open a group up to here; 0 before the first one."""
-    upto = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("turn_group", F.coalesce(F.sum(opens.cast("long")).over(upto), F.lit(0)))
+    return blocks.running_sum(rows, (key,), (order,), opens, "turn_group")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars
+from tracewright.operators import blocks
 
 
 def nested_counts(calls: DataFrame, outer: str, inner: str) -> DataFrame:
@@ -62,20 +63,23 @@ def growth(series: DataFrame, group: str, order: str, value: str, n: int = 7) ->
 
 
 def bursts(rows: DataFrame, key: str, ts: str, gap: str, least: int) -> DataFrame:
-    """Runs of events of a key with no gap as long as the given one, of at least so many events."""
-    out = rows.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"))
-    return out.where(F.col("n") >= least).select(key, F.col("w.start").alias("began"), "n")
+    """Runs of events of a key with no gap as long as the given one (an interval, like "30 minutes"), of at least so many events. Rows
+    without a time belong to no run. A key's rows are not gathered: see blocks."""
+    timed = rows.where(F.col(ts).isNotNull()).groupBy(key, ts).agg(F.count("*").alias("__n"))
+    run = blocks.previous_row(timed, (key,), (ts,), F.col(ts), "__prev")
+    fresh = F.coalesce(F.col(ts) >= F.col("__prev") + F.expr(f"INTERVAL {gap}"), F.lit(True))
+    numbered = blocks.running_sum(run, (key,), (ts,), fresh, "__run")
+    out = numbered.groupBy(key, "__run").agg(F.min(ts).alias("began"), F.sum("__n").alias("n"))
+    return out.where(F.col("n") >= least).select(key, "began", "n")
 
 
 def previous(rows: DataFrame, group: str, order: str, tie: str, keep: str) -> DataFrame:
-    """The latest strictly earlier row of the same group (as of its time), from one sort of the group.
-
-    Rows at the same time share what came before all of them."""
-    by = W.partitionBy(group).orderBy(order)
-    earlier = F.max(F.struct(order, tie, keep)).over(by.rangeBetween(W.unboundedPreceding, W.currentRow))
-    run = rows.withColumn("__upto", earlier)
-    firsts = run.groupBy(group, order).agg(F.max("__upto").alias("__upto")).withColumn("__prev", F.lag("__upto").over(by))
-    return rows.join(firsts.select(group, order, F.col(f"__prev.{tie}").alias("prev_id"), F.col(f"__prev.{keep}").alias("prev_value")), [group, order])
+    """The latest strictly earlier row of the same group (as of its time): prev_id (its tie) and prev_value (its keep); of several at
+    that time the one with the greatest tie.
+
+    Every row stays: without a group, a time or an earlier row both are null. A group's rows are not gathered: see blocks."""
+    out = blocks.latest_earlier(rows, (group,), order, F.struct(F.col(tie).alias("tie"), F.col(keep).alias("keep")), "__prev")
+    return out.withColumns({"prev_id": F.col("__prev.tie"), "prev_value": F.col("__prev.keep")}).drop("__prev")
 
 
 def zscores(rows: DataFrame, group: str, value: str, least: float) -> DataFrame:

@@ -278,15 +278,6 @@ def schema_validation(spark, sf_dir):
 # Detection and search
 
 
-_SQUEEZED = r"trim(regexp_replace(replace({}.text, '\n', ' '), '\s+', ' ', 'g'))"
-
-
-@registered(f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains({_SQUEEZED.format('d')}, {_SQUEEZED.format('b')})")
-def injection_happened(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "needle")
-    return detection.containing(table(spark, sf_dir, "documents"), "doc_id", "text", items, "needle").select("doc_id", "item_id").distinct()
-
-
 @registered("""WITH s AS (SELECT user_id, max(value / 100) AS top, count(*) AS n_messages, count(*) FILTER (value / 100 >= 0.8) AS n_threats FROM events GROUP BY 1)
 SELECT user_id, n_messages, n_threats, n_threats > 0 AS is_malicious, CASE WHEN n_threats > 0 THEN top ELSE greatest(0.1, least(0.3, top * 0.3)) END AS confidence FROM s""")
 def any_threat_fold(spark, sf_dir):
@@ -317,17 +308,6 @@ def all_words_search(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.forall(F.split(F.lit("the and er"), " "), lambda w: F.contains(F.lower("text"), w))).select("doc_id")
 
 
-@registered("SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts::DATE = b.ts::DATE AND a.event_id < b.event_id AND a.ts < b.ts + INTERVAL '1 hour' AND b.ts < a.ts + INTERVAL '1 hour'")
-def interval_overlap(spark, sf_dir):
-    """Pairs of one user's hour-long intervals of a day that overlap: such begin in the same hour or in neighbouring ones, so
-    that an interval meets only those of three hours."""
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"))
-    other = rows.select(F.col("event_id").alias("b"), F.col("ts").alias("ts_b"), "user_id", "day", "hour")
-    near = rows.withColumn("hour", F.explode(F.sequence(F.col("hour") - 1, F.col("hour") + 1)))
-    hour = F.expr("INTERVAL 1 HOUR")
-    return near.join(other, ["user_id", "day", "hour"]).where((F.col("event_id") < F.col("b")) & (F.col("ts") < F.col("ts_b") + hour) & (F.col("ts_b") < F.col("ts") + hour)).select(F.col("event_id").alias("a"), "b")
-
-
 # Joins and sets
 
 
