@@ -15,10 +15,12 @@ T0 = datetime(2024, 1, 1)
 
 @pytest.fixture
 def store(spark):
-    had = spark.conf.get(keyed.STATE_STORE[0])
-    spark.conf.set(*keyed.STATE_STORE)
+    had = {name: spark.conf.get(name) for name in keyed.SETTINGS}
+    for name, value in keyed.SETTINGS.items():
+        spark.conf.set(name, value)
     yield
-    spark.conf.set(keyed.STATE_STORE[0], had)
+    for name, value in had.items():
+        spark.conf.set(name, value)
 
 
 def replay(batches, exported=()):

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from tests.test_keyed_export import store  # noqa: F401
 from tracewright.streaming import jobs
 
 SCHEMA = "session_id string, ts timestamp, value double"
 
 
-def test_export_new(spark, tmp_path):
+def test_export_new(spark, store, tmp_path):  # noqa: F811
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = [("a", "2024-01-01 00:00:00", 1.0), ("a", "2024-01-01 00:00:05", 2.0), ("b", "2024-01-01 00:00:00", 3.0)]
     make = lambda r: spark.createDataFrame(r, "session_id string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))

@@ -26,7 +26,7 @@ def overlaps(rows: DataFrame, key: str, start: str, end: str, *group: str) -> Da
     grows with the longest interval. Of two common bins the one with the later start counts. An interval with a null start, end, group
     or key, or that ends before it begins, overlaps nothing; rows that share a key are no pair with each other. Bins of a crowded time
     are ordinary join keys, which Spark splits where they are skewed."""
-    tick = lambda name: F.unix_micros(name) if dict(rows.dtypes)[name].startswith("timestamp") else F.col(name).cast("long")
+    tick = lambda name: F.unix_micros(F.col(name).cast("timestamp")) if dict(rows.dtypes)[name].startswith("timestamp") else F.col(name).cast("long")
     named = {f"__g{k}": F.col(g) for k, g in enumerate(group)}
     each = rows.select(F.col(key).alias("__key"), *[c.alias(n) for n, c in named.items()], tick(start).alias("__from"), tick(end).alias("__to"))
     each = each.where((F.col("__from") <= F.col("__to")) & F.col("__key").isNotNull()).dropna(subset=list(named) or ["__from"])

@@ -96,8 +96,8 @@ def validated_values(spark, sf_dir):
 
 @registered("""WITH v AS (SELECT * FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0),
 l AS (SELECT c_nationkey, c_custkey, unnest(list_concat(CASE WHEN c_custkey % 3 = 0 THEN [{'format': 'string', 'value': c_mktsegment, 'quoted': true}] ELSE [{'format': 'string', 'value': c_mktsegment, 'quoted': true}, {'format': 'string', 'value': c_name, 'quoted': true}] END,
-  [{'format': 'number', 'value': c_custkey::VARCHAR, 'quoted': false}, {'format': 'string', 'value': c_name, 'quoted': true}])) AS x, generate_subscripts(list_concat(CASE WHEN c_custkey % 3 = 0 THEN [1] ELSE [1, 2] END, [3, 4]), 1) AS at FROM v),
-n AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, at) - 1 AS number FROM l)
+  [{'format': 'number', 'value': c_custkey::VARCHAR, 'quoted': false}, {'format': 'string', 'value': c_name, 'quoted': true}])) AS x, generate_subscripts(list_concat(CASE WHEN c_custkey % 3 = 0 THEN [1] ELSE [1, 2] END, [3, 4]), 1) AS place FROM v),
+n AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, place) - 1 AS number FROM l)
 SELECT c_nationkey, number, '#DATA' || number AS token, x.format AS format, CASE WHEN x.quoted THEN '"' || x.value || '"' ELSE x.value END AS value, c_custkey FROM n""")
 def sealed_values(spark, sf_dir):
     """The tokens of all valid values; a run is a nation."""
@@ -138,8 +138,8 @@ def repeated_call_sets(spark, sf_dir):
     return tables.repeated_sets(said, "user_id", "day", "calls").select("user_id", "day")
 
 
-@registered("""WITH i AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS at, count(*) OVER () AS n FROM part WHERE p_size > 40)
-SELECT c_custkey, p_partkey FROM customer JOIN i ON at = ('0x' || substr(md5('42:' || c_custkey), 1, 8))::BIGINT % n""")
+@registered("""WITH i AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place, count(*) OVER () AS n FROM part WHERE p_size > 40)
+SELECT c_custkey, p_partkey FROM customer JOIN i ON place = ('0x' || substr(md5('42:' || c_custkey), 1, 8))::BIGINT % n""")
 def chosen_injections(spark, sf_dir):
     return runs.chosen(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "part").where("p_size > 40").select("p_partkey"), "p_partkey", 42)
 

@@ -6,21 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tracewright.operators import sessions
+from tracewright.streaming import keyed
 
 
-def export_new(stream: DataFrame, out: str, state: str) -> DataStreamWriter:
-    """Writes the rows (session_id, ts, ...) whose session is unseen or has moved on by a second; what has been exported is the
-    table itself, so that a restart does not repeat a batch."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("session_id").agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
-        spark = batch.sparkSession
-        spark.createDataFrame([], batch.schema).write.mode("ignore").parquet(f"{out}/batch=-1")
-        earlier = spark.read.schema(batch.schema.add("batch", "long")).parquet(out).where(F.col("batch") < number)
-        sessions.unseen(latest, earlier).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", state)
+def export_new(stream: DataFrame, out: str, state: str, exported: DataFrame | None = None) -> DataStreamWriter:
+    """Writes the rows (session_id, ts, ...) whose session is unseen or has moved on by a second. What has been exported is keyed
+    state (see keyed.unseen, also for the settings): no batch reads what was written, and a restart does not repeat one."""
+    return keyed.unseen(stream, exported=exported).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
 
 
 def buckets(stream: DataFrame, ts: str, width: str, late: str, value: str, *tags: str) -> DataFrame:

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Where Spark keeps the state of such a stream.
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Settings of a session that runs such a stream: where its state is kept, and no batches without rows. State with a time to live asks
+#: for one after the other, so that a stream of what is there now would not end; what has expired goes with the next rows.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 #: A session that has not moved on for so long is forgotten; the readers do not look further back either.
 HORIZON = timedelta(days=14)
 
@@ -50,10 +54,10 @@ def unseen(stream: DataFrame, session: str = "session_id", ts: str = "ts", expor
     What has been exported is state, keyed by session: a batch costs as much as it has sessions, however much was exported before,
     and a restart from its checkpoint goes on from the same state. `exported` (session, ts) is what a first start finds exported
     already; one row per session of it is read, once. State is dropped `horizon` after its last change. A row without a session is
-    always exported, one without a time while its session has no export with a time. The session needs the state store of STATE_STORE.
+    always exported, one without a time while its session has no export with a time. The session needs SETTINGS.
     """
     known = None
     if exported is not None:
-        known = exported.groupBy(session).agg(F.unix_seconds(F.max(ts)).alias("second")).groupBy(session)
-    timed = stream.withColumn("__at", F.unix_micros(ts))
+        known = exported.groupBy(session).agg(F.unix_seconds(F.max(F.col(ts).cast("timestamp"))).alias("second")).groupBy(session)
+    timed = stream.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
     return timed.groupBy(session).transformWithState(LatestExport(horizon), timed.schema, "Append", "ProcessingTime", known).drop("__at")
