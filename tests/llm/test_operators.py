@@ -379,6 +379,58 @@ def test_toxicity_held_out(spark):
     held_out_accuracy(spark, toxicity.scored(docs, toxicity.fit(docs, labels)), labels, "toxic", 0.95)
 
 
+def test_toxicity_drops_copies_but_no_different_texts(spark):
+    """2,000 texts with a common footer all stay; of copies with a few other words one stays; labels are apart."""
+    rng = random.Random(11)
+    vocabulary = [f"word{k}" for k in range(400)]
+    footer = " all rights reserved to the authors of this page and its many kind readers"
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(20, 60))) + footer, k % 2) for k in range(2000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    copies = [(5000 + k, " ".join([*base[: 10 * k], "changed", *base[10 * k + 1 :]]), 1) for k in range(11)] + [(6000, " ".join(base), 0), (6001, "", 1), (6002, " ", 1), (6003, "one", 1), (6004, "one", 1), (6004, "one", 1)]
+    got = sorted(r.doc_id for r in toxicity.without_copies(spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int")).collect())
+    assert [k for k in got if k < 5000] == list(range(2000))
+    assert sum(5000 <= k < 6000 for k in got) == 1 and got[-3:] == [6000, 6001, 6003]
+
+
+@pytest.mark.parametrize("given", [[], [(1, 1)], [(1, 0)], [(1, 1), (7, 1), (None, 0), (2, None)]])
+def test_toxicity_without_evidence_rejects_nothing(spark, given):
+    docs, labels = cases.documents(spark), spark.createDataFrame(given, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {(0 <= r.score < 0.5, r.predicted) for r in toxicity.scored(docs, model).collect()} == {(True, 0)}
+    assert toxicity.accepted(docs, model).count() == docs.count()
+
+
+def test_toxicity_weights_by_brute_force(spark):
+    """Weights of words and stems, and scores, from dictionaries."""
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    kept = [(r.text, r.toxic) for r in toxicity.without_copies(docs.join(spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")).collect()]
+    n = {label: sum(t == label for _, t in kept) for label in (0, 1)}
+    known = None
+    weights = {}
+    for _ in range(2):
+        every, bad = Counter(), Counter()
+        for text, label in kept:
+            found = {w for token in set(toxicity.TOKEN.findall(text.lower())) if (w := toxicity.LETTERS.sub("", token)).isalpha()}
+            own = {f"={w}" for w in found} if known is None else {f for w in found if f"={w}" not in known for f in toxicity.features(w)[1:]}
+            every.update(own)
+            bad.update(own if label else [])
+        told = {}
+        for key, count in every.items():
+            x, y = bad[key] + 0.5, count - bad[key] + 0.5
+            w = math.log(x / (n[1] + 1)) - math.log(y / (n[0] + 1)) - toxicity.CAUTION * math.sqrt(1 / x + 1 / y)
+            if bad[key] >= max(toxicity.MIN_TOXIC, toxicity.MIN_TOXIC_SHARE * n[1]) and w >= toxicity.MIN_WEIGHT:
+                told[key] = w
+        weights = told | weights
+        known = set(told)
+    assert model["weights"] == {k: pytest.approx(w) for k, w in weights.items()} and weights
+    scorer = toxicity.Scorer(model["weights"], model["bigrams"])
+    for r in toxicity.scored(docs.limit(200), model).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(math.log1p(scorer.raw(r.text or "")) * model["slope"] + model["bias"]))))
+        assert r.predicted == (r.score >= 0.5)
+
+
 def test_toxicity_sees_through_disguises(spark):
     d = SF.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -36,6 +36,10 @@ LETTERS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 #: Labelled rows of each class that are used; entries of a worker's memory, and the longest token in it; the share of all pairs
 #: of letters that a pair of the model has, which bounds them by its inverse.
 SAMPLE_ROWS, MEMORY, REMEMBERED, PAIR_SHARE = 6_000, 300_000, 64, 1e-6
+#: Of two texts of a label one is a copy if they share so much of their runs of three words; rounds that look for them.
+COPY, COPY_ROUNDS = 0.5, 4
+#: The highest score where labels give no evidence; below that of a toxic text.
+MOST_WITHOUT_EVIDENCE = 0.49
 #: Toxic documents that a feature needs, at least and as a share of those in the sample, and its log ratio against
 #: the others less so many standard errors.
 MIN_TOXIC, MIN_TOXIC_SHARE, MIN_WEIGHT, CAUTION = 3, 0.002, 2.0, 1.5
@@ -191,13 +195,35 @@ def _gathered(known: frozenset[str] | None):
     return gather
 
 
+def without_copies(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, toxic) without copies of others of the same label, which are no evidence of their own. They are a
+    sample of bounded size.
+
+    A copy shares at least COPY of all runs of three words, counted exactly, with a row that stays for it. Each round brings together
+    rows that agree in the least of their hashes under its own order, and holds each to the one of least id among them; what is
+    not alike stays, however many rows share a line. Texts without a word are copies of one another."""
+    kept = saved(rows.withColumn("__runs", F.array_distinct(shingle_hashes(F.col("text")))))
+    for turn in range(COPY_ROUNDS):
+        least = F.array_min(F.transform("__runs", lambda h: F.xxhash64(h, F.lit(turn))))
+        keyed = kept.withColumn("__least", least)
+        of = keyed.groupBy(F.col("toxic").alias("__toxic"), F.col("__least").alias("__of")).agg(F.min_by(F.struct("doc_id", F.col("__runs").alias("runs")), F.struct("doc_id", "text")).alias("__one"), F.min(F.struct("doc_id", "text")).alias("__first"))
+        met = keyed.join(of, (F.col("toxic") == F.col("__toxic")) & F.col("__least").eqNullSafe(F.col("__of")))
+        both = F.size(F.array_intersect("__runs", "__one.runs"))
+        alike = F.coalesce(F.try_divide(both, F.size("__runs") + F.size("__one.runs") - both), F.lit(1.0)) >= COPY
+        itself = (F.col("doc_id") == F.col("__first.doc_id")) & (F.col("text") == F.col("__first.text"))
+        kept = met.where(itself | ~alike).dropDuplicates(["doc_id", "text", "toxic"]) if turn == 0 else met.where(itself | ~alike)
+        kept = saved(kept.select("doc_id", "text", "toxic", "__runs"))
+    return kept.drop("__runs")
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Weights, slope and bias from at most sample_rows labelled rows of each class outside the held-out fold;
     bigrams from all documents.
 
     The rows are those with the least hash of doc_id, so that a rerun takes the same. A doc_id with several labels counts as
-    toxic if one of them is. Without rows of both classes nothing has a weight and every score is
-    the share of toxic ones."""
+    toxic if one of them is. Without rows of both classes, so with an empty table of labels too, nothing tells toxic texts
+    apart: no word has a weight, and every score is the share of toxic ones, but MOST_WITHOUT_EVIDENCE at most, so that
+    no text is rejected."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out is not None:
         known = known.where(fold(F.col("doc_id")) != held_out)
@@ -206,13 +232,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, sam
     least = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for label in (0, 1)]
     chosen = saved(least[0].unionByName(least[1]))
     rows = docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    # copies of a text are no evidence of their own: of those whose least hash of three words agrees, one stays
-    least = rows.groupBy("toxic", F.array_min(shingle_hashes(F.col("text"))).alias("sketch")).agg(F.min(F.struct("doc_id", "text")).alias("r"))
-    sample = saved(least.select("r.doc_id", "r.text", "toxic").repartition(32))
+    sample = saved(without_copies(rows).repartition(32))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
-        return {"weights": {}, "bigrams": {}, "slope": 1.0, "bias": math.log((all1 + 0.5) / (all0 + 0.5))}
+        prior = min((all1 + 0.5) / (all0 + all1 + 1), MOST_WITHOUT_EVIDENCE)
+        return {"weights": {}, "bigrams": {}, "slope": 1.0, "bias": math.log(prior / (1 - prior))}
     in_toxic, in_others = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
     weight = F.log(in_toxic / (n1 + 1)) - F.log(in_others / (n0 + 1)) - CAUTION * F.sqrt(1 / in_toxic + 1 / in_others)
 
