@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import fold, saved, whole
+from tracewright.llm.common import fold, saved, stored, whole
 from tracewright.llm.simhash import shingle_hashes
 
 #: What characters may stand for.
@@ -36,8 +36,9 @@ LETTERS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 #: Labelled rows of each class that are used; entries of a worker's memory, and the longest token in it; the share of all pairs
 #: of letters that a pair of the model has, which bounds them by its inverse.
 SAMPLE_ROWS, MEMORY, REMEMBERED, PAIR_SHARE = 6_000, 300_000, 64, 1e-6
-#: Of two texts of a label one is a copy if they share so much of their runs of three words; rounds that look for them.
-COPY, COPY_ROUNDS = 0.5, 4
+#: Of two texts of a label one is a copy if they share so much of their runs of three words; rounds that look for them, and
+#: hashes that tell it.
+COPY, COPY_ROUNDS, SKETCH = 0.5, 4, 128
 #: The highest score where labels give no evidence; below that of a toxic text.
 MOST_WITHOUT_EVIDENCE = 0.49
 #: Toxic documents that a feature needs, at least and as a share of those in the sample, and its log ratio against
@@ -199,21 +200,27 @@ def without_copies(rows: DataFrame) -> DataFrame:
     """rows (doc_id, text, toxic) without copies of others of the same label, which are no evidence of their own. They are a
     sample of bounded size.
 
-    A copy shares at least COPY of all runs of three words, counted exactly, with a row that stays for it. Each round brings together
-    rows that agree in the least of their hashes under its own order, and holds each to the one of least id among them; what is
-    not alike stays, however many rows share a line. Texts without a word are copies of one another."""
-    kept = saved(rows.withColumn("__runs", F.array_distinct(shingle_hashes(F.col("text")))))
+    A copy shares at least COPY of its runs of three words with a row that stays for it: of texts with up to SKETCH runs
+    counted, of others told by the SKETCH least hashes of both. Each round brings together rows that agree in the least of their
+    hashes under its own order, and holds each to the one of least id among them; what is not alike stays, however many rows
+    share a line. Texts without a word are copies of one another. Rounds carry sketches, not texts."""
+    own = rows.withColumn("__text", F.xxhash64("text"))
+    runs = own.select("doc_id", "toxic", "__text", F.array_distinct(shingle_hashes(F.col("text"))).alias("__runs"))
+    least_of = lambda k: F.array_min(F.transform("__runs", lambda h: F.xxhash64(h, F.lit(k))))
+    kept = stored(runs.select("doc_id", "toxic", "__text", F.array(*map(least_of, range(COPY_ROUNDS))).alias("__turns"), F.slice(F.array_sort("__runs"), 1, SKETCH).alias("__sketch")).dropDuplicates(["doc_id", "toxic", "__text"]))
     for turn in range(COPY_ROUNDS):
-        least = F.array_min(F.transform("__runs", lambda h: F.xxhash64(h, F.lit(turn))))
-        keyed = kept.withColumn("__least", least)
-        of = keyed.groupBy(F.col("toxic").alias("__toxic"), F.col("__least").alias("__of")).agg(F.min_by(F.struct("doc_id", F.col("__runs").alias("runs")), F.struct("doc_id", "text")).alias("__one"), F.min(F.struct("doc_id", "text")).alias("__first"))
+        keyed = kept.withColumn("__least", F.get("__turns", F.lit(turn)))
+        one = F.min(F.struct("doc_id", "__text", "__sketch")).alias("__one")
+        of = keyed.groupBy(F.col("toxic").alias("__toxic"), F.col("__least").alias("__of")).agg(one)
         met = keyed.join(of, (F.col("toxic") == F.col("__toxic")) & F.col("__least").eqNullSafe(F.col("__of")))
-        both = F.size(F.array_intersect("__runs", "__one.runs"))
-        alike = F.coalesce(F.try_divide(both, F.size("__runs") + F.size("__one.runs") - both), F.lit(1.0)) >= COPY
-        itself = (F.col("doc_id") == F.col("__first.doc_id")) & (F.col("text") == F.col("__first.text"))
-        kept = met.where(itself | ~alike).dropDuplicates(["doc_id", "text", "toxic"]) if turn == 0 else met.where(itself | ~alike)
-        kept = saved(kept.select("doc_id", "text", "toxic", "__runs"))
-    return kept.drop("__runs")
+        least = F.slice(F.array_sort(F.array_union("__sketch", "__one.__sketch")), 1, SKETCH)
+        both = F.size(F.array_intersect(F.array_intersect("__sketch", "__one.__sketch"), least))
+        alike = F.coalesce(F.try_divide(both, F.size(least)), F.lit(1.0)) >= COPY
+        itself = F.col("doc_id").eqNullSafe(F.col("__one.doc_id")) & (F.col("__text") == F.col("__one.__text"))
+        kept = met.where(itself | ~alike).select(*kept.columns)
+    names = kept.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__label"), F.col("__text").alias("__of"))
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("toxic") == F.col("__label")) & (F.col("__text") == F.col("__of"))
+    return own.join(names, same, "left_semi").dropDuplicates(["doc_id", "toxic", "__text"]).drop("__text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, sample_rows: int = SAMPLE_ROWS) -> dict:
@@ -232,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, sam
     least = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for label in (0, 1)]
     chosen = saved(least[0].unionByName(least[1]))
     rows = docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = saved(without_copies(rows).repartition(32))
+    sample = stored(without_copies(rows).repartition(32))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
