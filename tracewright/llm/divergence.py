@@ -101,8 +101,9 @@ def joint_histogram(kept: DataFrame, of: DataFrame) -> DataFrame:
     one = profiles.select("lang", "m", "counts", F.posexplode("counts").alias("at", "x"))
     both = one.where(F.col("at") + 1 < F.size("counts")).select("lang", "m", "x", F.explode(F.slice("counts", F.col("at") + 2, F.size("counts"))).alias("y"))
     cell = lambda na, nb, sign: F.struct(na.alias("na"), nb.alias("nb"), (F.col("m") * sign).alias("m"))
-    zero, nx, ny = F.lit(0).cast("long"), F.col("x.n"), F.col("y.n")
-    shared = both.select("lang", F.col("x.source").alias("a"), F.col("y.source").alias("b"), F.inline(F.array(cell(nx, ny, 1), cell(nx, zero, -1), cell(zero, ny, -1), cell(zero, zero, 1))))
+    zero, nx, ny = F.lit(0).cast("long"), F.col("nx"), F.col("ny")
+    met = both.groupBy("lang", F.col("x.source").alias("a"), F.col("y.source").alias("b"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).agg(F.sum("m").alias("m"))
+    shared = met.select("lang", "a", "b", F.inline(F.array(cell(nx, ny, 1), cell(nx, zero, -1), cell(zero, ny, -1), cell(zero, zero, 1))))
     pairs = of.select("lang", F.col("source").alias("a"), "kept").join(of.select("lang", F.col("source").alias("b")), "lang").where("a < b")
     alone = profiles.select("lang", "m", F.inline("counts")).groupBy("lang", "source", "n").agg(F.sum("m").alias("m"))
     n = F.col("n")
