@@ -8,11 +8,13 @@ documents have shown to go with toxicity. Tokens are decoded in full, at any len
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -29,13 +31,13 @@ SEPARATORS = " .-_*'~/\\:,;"
 UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 TOKEN = re.compile(r"[\w@$!|+(€]+")
 SPACED = re.compile(r"(?<![\w@$!|+])[\w@$!|+](?:[ .\-_*~/\\:,;]{1,2}[\w@$!|+]){2,}(?![\w@$!|+])")
-PARTED = re.compile(r"\w+(?:[.\-_*'~]{1,2}[\w@$!|+]+)+")
+PARTED = re.compile(r"(?<!\w)\w+(?:[.\-_*'~]{1,2}[\w@$!|+]+)+")
 DISGUISED = re.compile(r"[\d@$!|+(€][^\W\d_]|[^\W\d_][\d@$!|+(€]+[^\W\d_]|(.)\1\1|(?:(.)\2(.)\3(.)\4)|vv|[^\W\d_][\d@$!|+(€]$|[аеоіср]")
 PARTS = re.compile(r"\w[ .\-_*'~/\\:,;]+[\w@$!|+]")
 LETTERS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 #: Labelled rows of each class that are used; entries of a worker's memory, and the longest token in it; the share of all pairs
 #: of letters that a pair of the model has, which bounds them by its inverse.
-SAMPLE_ROWS, MEMORY, REMEMBERED, PAIR_SHARE = 6_000, 300_000, 64, 1e-6
+SAMPLE_ROWS, MEMORY, REMEMBERED, PAIR_SHARE = 6_000, 500_000, 64, 1e-6
 #: Of two texts of a label one is a copy if they share so much of their runs of three words; rounds that look for them, and
 #: hashes that tell it.
 COPY, COPY_ROUNDS, SKETCH = 0.5, 4, 128
@@ -290,10 +292,24 @@ def _platt(x: np.ndarray, y: np.ndarray, w1: float, w0: float) -> tuple[float, f
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
+_HELD: dict[str, Scorer] = {}
+
+
+def _scorer(model: dict, key: str) -> Scorer:
+    """The scorer of a Python worker, which keeps what it remembers from one task to the next; one model at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Scorer(model["weights"], model["bigrams"])
+    return _HELD[key]
+
+
 def _udf(model: dict):
+    key = hashlib.sha256(repr((sorted(model["weights"].items()), sorted(model["bigrams"].items()))).encode()).hexdigest()
+    scorer_of = partial(_scorer, {k: model[k] for k in ("weights", "bigrams")}, key)
+
     @F.pandas_udf("double")
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model["weights"], model["bigrams"])
+        scorer = scorer_of()
         for texts in batches:
             yield texts.map(scorer.raw).astype(float)
 
