@@ -10,6 +10,9 @@ NOISE = ("invalid api key", "please run /login", "authentication failed", "unaut
 #: Word lists and phrases of the content checks.
 POSITIVE = ("good", "great", "excellent", "amazing", "wonderful", "fantastic", "love", "happy", "joy", "beautiful", "awesome", "perfect", "best", "nice", "cool")
 NEGATIVE = ("bad", "terrible", "awful", "horrible", "hate", "worst", "ugly", "stupid", "boring", "disgusting", "annoying", "useless", "pathetic", "ridiculous")
+PROFANE = ("damn", "hell", "crap", "stupid", "idiot", "hate", "kill", "die", "death")
+VIOLENT = ("kill", "murder", "weapon", "gun", "knife", "bomb", "operation", "violence", "fight", "hurt", "harm", "destroy", "threat", "dangerous")
+HARASSING = ("loser", "freak", "weirdo", "ugly", "fat", "stupid", "retard", "shut up", "go away", "nobody likes", "everyone hates", "pathetic")
 SPAM = ("click here", "free money", "limited time", "act now", "guaranteed", "no risk", "winner", "congratulations", "urgent", "immediate", "offer expires")
 
 
@@ -108,3 +111,27 @@ def sentiment(text: Column) -> Column:
     spam = sum((F.contains(F.lower(text), F.lit(x)).cast("int") for x in SPAM), F.lit(0))
     score = (within(POSITIVE) - within(NEGATIVE)) / F.greatest(F.size(words), F.lit(1))
     return F.struct(F.size(words).alias("n_words"), within(POSITIVE).alias("positive"), within(NEGATIVE).alias("negative"), spam.alias("spam"), score.alias("score"), F.when(score > 0.1, "positive").when(score < -0.1, "negative").otherwise("neutral").alias("sentiment"))
+
+
+def moderation(text: Column, strict: bool = False) -> Column:
+    """struct(profanity, violence, harassment, spam, categories, safety_score, safety_level) of a text.
+
+    Profane words are counted as often as they occur; of the other lists each entry counts once, wherever the text contains it.
+    The score is 1 less ten times what is flagged for each word, 0 at least; a null or blank text is safe. strict asks for a review
+    below 0.9 and calls unsafe what is below 0.6."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    said = F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0))
+    once = lambda listed: sum((F.contains(low, F.lit(x)).cast("int") for x in listed), F.lit(0))
+    profane = F.size(F.filter(said, lambda w: w.isin(*PROFANE)))
+    counts = F.struct(profane.alias("profanity"), once(VIOLENT).alias("violence"), once(HARASSING).alias("harassment"), once(SPAM).alias("spam"), F.size(said).alias("n"))
+
+    def judged(c: Column) -> Column:
+        flagged = c["profanity"] + c["violence"] + c["harassment"] + c["spam"]
+        score = F.greatest(F.lit(0.0), 1 - flagged / F.greatest(c["n"], F.lit(1)) * 10)
+        level = F.when(score >= 0.8, "safe").when(score >= 0.5, "review_needed").when(score >= 0.2, "unsafe").otherwise("blocked")
+        level = F.when(score < 0.6, "unsafe").when(score < 0.9, "review_needed").otherwise(level) if strict else level
+        kinds = ("profanity", "violence", "harassment", "spam")
+        categories = F.filter(F.array(*[F.when(c[k] > 0, k) for k in kinds]), lambda k: k.isNotNull())
+        return F.struct(*[c[k].alias(k) for k in kinds], categories.alias("categories"), score.alias("safety_score"), level.alias("safety_level"))
+
+    return F.get(F.transform(F.array(counts), judged), F.lit(0))

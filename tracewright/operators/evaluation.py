@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.operators import blocks
+
 #: Ranges of values that a group is cut into to be ranked; the cuts are a list of so many numbers.
 RANGES = 64
 
@@ -89,11 +91,12 @@ def rank_percent(rows: DataFrame, value: str, by: str, tie: str) -> DataFrame:
     """The cumulative share of each row in the order of positive values, within each group: rank / n * 100; tie orders equal
     values.
 
-    A group is not ranked in one task: it is ranked within ranges, and the rows of earlier ranges are added (see dealt)."""
-    ranged, starts = dealt(rows.where(F.col(value) > 0), value, by)
-    ranked = ranged.withColumn("__rank", F.row_number().over(W.partitionBy(by, "__range").orderBy(value, tie)))
-    joined = ranked.join(starts, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__of")))
-    return joined.withColumn("cdf", (F.col("__start") + F.col("__rank")) * 100.0 / F.col("__n")).select(*rows.columns, "cdf")
+    A group is not ranked in one task, nor is a value that most rows share: ranks run along ranges of (group, value, tie), see
+    blocks."""
+    positive = rows.where(F.col(value) > 0)
+    ranked = blocks.running_sum(positive, (by,), (value, tie), F.lit(1), "__rank")
+    counted = blocks.joined(ranked, positive.groupBy(by).agg(F.count("*").alias("__n")), (by,))
+    return counted.withColumn("cdf", F.col("__rank") * 100.0 / F.col("__n")).select(*rows.columns, "cdf")
 
 
 def class_distribution(rows: DataFrame, label: str) -> DataFrame:

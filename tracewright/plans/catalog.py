@@ -55,10 +55,10 @@ _VERDICTS = """WITH v AS (SELECT doc_id, lang, n_chars::DOUBLE AS latency, regex
 j AS (SELECT v.*, toxic = 1 AS actual FROM v JOIN labels USING (doc_id)) """
 
 
-def _confusion_sql(by: str = "") -> str:
+def _confusion_sql(by: str = "", more: str = "") -> str:
     return _VERDICTS + f""", c AS (SELECT {by} count(*) FILTER (predicted AND actual) AS tp, count(*) FILTER (NOT predicted AND NOT actual) AS tn, count(*) FILTER (predicted AND NOT actual) AS fp, count(*) FILTER (NOT predicted AND actual) AS fn FROM j {'GROUP BY ALL' if by else ''}),
 r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0::DOUBLE) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0::DOUBLE) AS recall, coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0.0::DOUBLE) AS accuracy FROM c)
-SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0::DOUBLE) AS f1 FROM r"""
+SELECT *, {more} coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0::DOUBLE) AS f1 FROM r"""
 
 
 # Sessions
@@ -90,7 +90,7 @@ def past_traces(spark, sf_dir):
     return sessions.past_traces(messages(spark, sf_dir)).select("session_id", "seq", "n_past", "past_chars")
 
 
-@registered("""WITH t AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS at FROM conversations GROUP BY 1) SELECT c.conv_id AS session_id, turn AS seq FROM conversations c JOIN t USING (conv_id) WHERE t.at IS NULL OR turn <= t.at""".replace(" AS at ", " AS first_at ").replace("t.at", "t.first_at"))
+@registered("""WITH t AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS first_at FROM conversations GROUP BY 1) SELECT c.conv_id AS session_id, turn AS seq FROM conversations c JOIN t USING (conv_id) WHERE first_at IS NULL OR turn <= first_at""")
 def until_first_threat(spark, sf_dir):
     return sessions.until_first(messages(spark, sf_dir), F.col("role") == "assistant").select("session_id", "seq")
 
@@ -134,7 +134,9 @@ def latency_cdf(spark, sf_dir):
 SELECT event_type, mean, coalesce((mean - base) * 100.0 / nullif(base, 0), 0) AS improvement FROM m, b""")
 def ablation_advantage(spark, sf_dir):
     means = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"))
-    return evaluation.relative_to(means, "event_type", means.agg(F.min("event_type")).first()[0], "mean")
+    least = means.agg(F.min("event_type").alias("least"))
+    based = means.join(F.broadcast(least), F.lit(True)).withColumn("is_base", F.col("event_type") == F.col("least"))
+    return evaluation.relative_to(based, "is_base", True, "mean").select("event_type", "mean", "improvement")
 
 
 @registered(_VERDICTS + "SELECT lang, coalesce(count(*) FILTER (actual AND predicted) / nullif(count(*) FILTER (actual), 0), 0.0::DOUBLE) AS rule, coalesce(count(*) FILTER (actual AND latency > 1000) / nullif(count(*) FILTER (actual), 0), 0.0::DOUBLE) AS long_text FROM j GROUP BY 1")
@@ -163,7 +165,7 @@ def run_summary(spark, sf_dir):
     return evaluation.run_summary(table(spark, sf_dir, "events"), "value", F.col("value") > 10, 1000.0, 10)
 
 
-@registered(_confusion_sql("lang, sum(latency) AS total_cost,").replace("SELECT *, coalesce(2", "SELECT *, coalesce(total_cost / nullif(tp, 0), 0.0::DOUBLE) AS cost_per_tp, coalesce(2"))
+@registered(_confusion_sql("lang, sum(latency) AS total_cost,", "coalesce(total_cost / nullif(tp, 0), 0.0::DOUBLE) AS cost_per_tp,"))
 def ablation_table(spark, sf_dir):
     return evaluation.ablation_table(evaluation.judged(*verdicts(spark, sf_dir), "doc_id"), "lang", "latency")
 
@@ -269,8 +271,8 @@ def trend_forecast(spark, sf_dir):
 
 
 @registered("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (NOT coalesce(value > 1, false)) AS v, count(*) FILTER (NOT coalesce(props LIKE '{%', false)) AS p, count(*) FILTER (user_id IS NULL) AS u FROM events),
-l AS (SELECT 'value_range' AS check, v AS n_invalid, n FROM c UNION ALL SELECT 'props_format', p, n FROM c UNION ALL SELECT 'user_present', u, n FROM c)
-SELECT *, 1 - n_invalid / n AS compliance, 1 - n_invalid / n > 0.9 AS compliant FROM l""".replace("AS check", "AS \"check\""))
+l AS (SELECT 'value_range' AS "check", v AS n_invalid, n FROM c UNION ALL SELECT 'props_format', p, n FROM c UNION ALL SELECT 'user_present', u, n FROM c)
+SELECT *, 1 - n_invalid / n AS compliance, 1 - n_invalid / n > 0.9 AS compliant FROM l""")
 def schema_validation(spark, sf_dir):
     return statistics.complete(table(spark, sf_dir, "events"), {"value_range": "value > 1", "props_format": "props LIKE '{%'", "user_present": "user_id IS NOT NULL"})
 
@@ -321,7 +323,7 @@ def semi_lookup(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@registered("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)")
+@registered("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 480000)")
 def anti_lookup(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where("o_totalprice > 480000")
     return table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
@@ -386,11 +388,11 @@ _LISTED = "len(list_filter(w, lambda x: list_contains({}, x)))"
 _SPAM = " + ".join(f"contains(t, '{x}')::INT" for x in scalars.SPAM)
 
 
-@registered(f"""WITH w AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents WHERE lang = 'en'),
+@registered(f"""WITH w AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
 c AS (SELECT doc_id, len(w)::INTEGER AS n_words, {_LISTED.format(list(scalars.POSITIVE))}::INTEGER AS positive, {_LISTED.format(list(scalars.NEGATIVE))}::INTEGER AS negative, ({_SPAM})::INTEGER AS spam FROM w),
 s AS (SELECT *, (positive - negative) / greatest(n_words, 1) AS score FROM c) SELECT *, CASE WHEN score > 0.1 THEN 'positive' WHEN score < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment FROM s""")
 def sentiment_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", scalars.sentiment(F.col("text")).alias("s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", scalars.sentiment(F.col("text")).alias("s"))
     return rows.select("doc_id", "s.*")
 
 

@@ -157,3 +157,16 @@ def calls_without_failed(spark, sf_dir):
 def reports_by_suite(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("size", F.col("o_totalprice").cast("double"))
     return runs.by_suite(rows, "o_orderstatus", "o_orderkey", "size").select(F.col("o_orderstatus").alias("suite"), "n_reports", F.round("total").cast("long").alias("total"), "last_report")
+
+
+def _in_text(listed: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains(t, '{x}')::INT" for x in listed) + ")"
+
+
+@registered(f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS w FROM d),
+c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: list_contains({list(scalars.PROFANE)}, x)))::INT AS profanity, {_in_text(scalars.VIOLENT)}::INT AS violence, {_in_text(scalars.HARASSING)}::INT AS harassment, {_in_text(scalars.SPAM)}::INT AS spam FROM w),
+s AS (SELECT *, greatest(0, 1 - (profanity + violence + harassment + spam) / greatest(n, 1) * 10) AS safety_score FROM c)
+SELECT doc_id, profanity, violence, harassment, spam, safety_score, CASE WHEN safety_score >= 0.8 THEN 'safe' WHEN safety_score >= 0.5 THEN 'review_needed' WHEN safety_score >= 0.2 THEN 'unsafe' ELSE 'blocked' END AS safety_level FROM s""")
+def moderated(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", scalars.moderation(F.col("text")).alias("m"))
+    return rows.select("doc_id", "m.*").drop("categories")

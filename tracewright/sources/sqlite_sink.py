@@ -31,17 +31,19 @@ def _name(raw: str) -> str:
     return f'"{raw}"'
 
 
-def create(path: str, table: str, columns: dict[str, str], primary_key: Sequence[str] = ()) -> None:
-    """Makes the table with its columns (name to SQLite type) unless it is there."""
-    parts = [f"{_name(c)} {kind}" for c, kind in columns.items() if kind in set(TYPES.values()) or _bad_type(kind)]
+def _creation(table: str, columns: dict[str, str], primary_key: Sequence[str]) -> str:
+    if bad := set(columns.values()) - set(TYPES.values()):
+        raise ValueError(f"no types of SQLite: {bad}")
+    parts = [f"{_name(c)} {kind}" for c, kind in columns.items()]
     if primary_key:
         parts.append(f"PRIMARY KEY ({', '.join(map(_name, primary_key))})")
-    with sqlite3.connect(path) as db:
-        db.execute(f"CREATE TABLE IF NOT EXISTS {_name(table)} ({', '.join(parts)})")
+    return f"CREATE TABLE IF NOT EXISTS {_name(table)} ({', '.join(parts)})"
 
 
-def _bad_type(kind: str) -> bool:
-    raise ValueError(f"no type of SQLite: {kind}")
+def create(path: str, table: str, columns: dict[str, str], primary_key: Sequence[str] = ()) -> None:
+    """Makes the table with its columns (name to SQLite type) unless it is there."""
+    with sqlite3.connect(path) as db:
+        db.execute(_creation(table, columns, primary_key))
 
 
 def delete(path: str, table: str, conditions: Sequence[tuple[str, str, object]]) -> int:
@@ -97,18 +99,19 @@ class _Writer(DataSourceWriter):
         return _Staged(path)
 
     def commit(self, messages: list[_Staged | None]) -> None:
-        create(self.path, self.table, self.columns, self.key)
         places = ", ".join("?" * len(self.columns))
-        db = sqlite3.connect(self.path)
+        db = sqlite3.connect(self.path, isolation_level=None)
         try:
-            with db:
-                if self.overwrite:
-                    db.execute(f"DELETE FROM {_name(self.table)}")
-                for m in messages:
-                    if m is not None:
-                        db.executemany(f"INSERT INTO {_name(self.table)} ({', '.join(map(_name, self.columns))}) VALUES ({places})", _chunks(m.path))
+            db.execute("BEGIN IMMEDIATE")
+            db.execute(_creation(self.table, self.columns, self.key))
+            if self.overwrite:
+                db.execute(f"DELETE FROM {_name(self.table)}")
+            for m in messages:
+                if m is not None:
+                    db.executemany(f"INSERT INTO {_name(self.table)} ({', '.join(map(_name, self.columns))}) VALUES ({places})", _chunks(m.path))
+            db.execute("COMMIT")
         finally:
-            db.close()
+            db.close()  # what is not committed is rolled back
             self._unstage()
 
     def abort(self, messages: list[_Staged | None]) -> None:
