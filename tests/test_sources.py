@@ -177,3 +177,33 @@ def test_names_and_conditions_are_plain(spark, tmp_path):
     for bad in (lambda: sqlite_sink.delete(path, "t", []), lambda: sqlite_sink.delete(path, "t", [("a", "LIKE", 1)]), lambda: sqlite_sink.delete(path, "t; DROP", [("a", "=", 1)]), lambda: sqlite_sink.create(path, "u", {"a": "INTEGER); --"}), lambda: sqlite_sink.write(spark.range(1).toDF("a b"), path, "t")):
         with pytest.raises(ValueError):
             bad()
+
+
+# Tasks, results and logs
+
+
+def test_tasks_and_labels(spark, tmp_path):
+    (tmp_path / "tasks.json").write_text(json.dumps({"tasks": [{"task_id": 1, "ground_truth": "malicious", "mcp_servers": ["a"], "threat_tactic": "t"}, {"task_id": 12, "user_prompt": "p"}, {"task_id": 1234, "ground_truth": "benign"}, {"ground_truth": "malicious"}]}, indent=1))
+    got = {r.task_id: (r.is_malicious, r.prompt, r.servers, r.tactic) for r in found_runs.listed_tasks(spark, str(tmp_path / "tasks.json")).collect()}
+    assert got == {"task_001": (True, None, ["a"], "t"), "task_012": (False, "p", None, None), "task_1234": (False, None, None, None)}
+    (tmp_path / "ground_truth.json").write_text(json.dumps({"task_3": {"is_malicious": True, "suite": "s"}, "task_0044_x": {"is_malicious": False}, "meta": {"is_malicious": True}, "task_5": {}}))
+    assert {r.task_id: r.is_malicious for r in found_runs.labels(spark, str(tmp_path / "ground_truth.json")).collect()} == {"task_003": True, "task_044": False, "task_005": None}
+
+
+def test_results_and_logs_by_their_places(spark, tmp_path):
+    log(tmp_path / "runs", "pipe a/banking/user_task_0/direct/injection_task_1.json", utility=True)
+    log(tmp_path / "runs", "pipe a/banking/user_task_0/none/none.json")
+    rows = found_runs.task_results(spark, str(tmp_path / "runs")).select("pipeline", "suite", "user_task", "attack", "injection_task", F.try_variant_get("result", "$.utility", "boolean").alias("u"))
+    assert sorted(map(tuple, rows.collect()), key=str) == [("pipe a", "banking", "user_task_0", "direct", "injection_task_1", True), ("pipe a", "banking", "user_task_0", "none", "none", None)]
+    for name in ("task_001_output", "task_x_1_output", "task_002_triage_only", "other_output"):
+        log(tmp_path / "debug", f"{name}.json", elapsed_time=1.5)
+    logs = found_runs.debug_logs(spark, str(tmp_path / "debug"), {"reasoning": "output", "triage": "triage_only"})
+    assert {(r.task_id, r.stage, r.t) for r in logs.select("task_id", "stage", F.try_variant_get("log", "$.elapsed_time", "double").alias("t")).collect()} == {("task_001", "reasoning", 1.5), ("task_x_1", "reasoning", 1.5), ("task_002", "triage", 1.5)}
+
+
+def test_calendar(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"title": "a", "date": "2024-01-01"}, {"title": "b"}]')
+    (tmp_path / "d.json").write_text('{"title": "a"}')
+    (tmp_path / "e.json").write_text("{title")
+    assert [found_runs.calendar(spark, str(tmp_path / f), "title:string").count() for f in ("d.json", "e.json")] == [1, 0]
+    assert [tuple(r) for r in found_runs.calendar(spark, str(tmp_path / "c.json"), "title:string,date:date").select("title", F.col("date").cast("string")).collect()] == [("a", "2024-01-01"), ("b", None)]

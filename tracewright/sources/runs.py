@@ -81,3 +81,48 @@ def with_ground_truth(verdicts: DataFrame, truth: DataFrame, key: str, label: st
     missing = F.raise_error(F.concat(F.lit("no ground truth for "), F.coalesce(F.col(key).cast("string"), F.lit("a null key"))))
     value = F.coalesce("__label", missing.cast(dict(truth.dtypes)[label]))
     return joined.select(*verdicts.columns, value.alias(label))
+
+
+def listed_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """task_id, is_malicious, description, prompt, servers, expected_tools, technique, tactic: the tasks of a file with a list of them. A
+    task without a label is benign, one without a number is none."""
+    schema = "tasks array<struct<task_id:int,description:string,user_prompt:string,mcp_servers:array<string>,expected_tools:array<string>,ground_truth:string,threat_technique:string,threat_tactic:string>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("tasks").alias("t")).where("t.task_id IS NOT NULL")
+    told = F.coalesce(F.col("t.ground_truth"), F.lit("benign")) == "malicious"
+    return rows.select(task_id(F.col("t.task_id")).alias("task_id"), told.alias("is_malicious"), "t.description", F.col("t.user_prompt").alias("prompt"), F.col("t.mcp_servers").alias("servers"), "t.expected_tools", F.col("t.threat_technique").alias("technique"), F.col("t.threat_tactic").alias("tactic"))
+
+
+def labels(spark: SparkSession, path: str) -> DataFrame:
+    """task_id, is_malicious: the labels of a run's own file, an object by task. Keys other than those of tasks are no labels; numbers
+    get three digits at least."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")).alias("key", "v"))
+    number = F.regexp_extract("key", "^task_([0-9]+)", 1).try_cast("long")
+    return rows.where(number.isNotNull()).select(task_id(number).alias("task_id"), F.try_variant_get("v", "$.is_malicious", "boolean").alias("is_malicious"))
+
+
+def task_results(spark: SparkSession, path: str) -> DataFrame:
+    """pipeline, suite, user_task, attack, injection_task, result (variant): the results under a folder, by their place
+    <pipeline>/<suite>/<user task>/<attack>/<injection task>.json. A file that is no JSON has a null result."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    parts = F.slice(F.split(F.regexp_replace(F.col("_metadata.file_path"), r"\.json$", ""), "/"), -5, 5)
+    names = ("pipeline", "suite", "user_task", "attack", "injection_task")
+    return rows.select(*[F.url_decode(F.get(parts, F.lit(k))).alias(n) for k, n in enumerate(names)], F.try_parse_json("value").alias("result"))
+
+
+def debug_logs(spark: SparkSession, path: str, endings: dict[str, str]) -> DataFrame:
+    """task_id, stage, log (variant): the logs of detector calls in a folder, named <task>_<ending>.json; endings tells the stage of
+    each ending. Other files are not read."""
+    out = None
+    for stage, ending in endings.items():
+        rows = spark.read.option("pathGlobFilter", f"task_*_{ending}.json").text(path, wholetext=True)
+        name = F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        part = rows.select(F.regexp_replace(name, rf"_{ending}\.json$", "").alias("task_id"), F.lit(stage).alias("stage"), F.try_parse_json("value").alias("log"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def calendar(spark: SparkSession, path: str, events: str) -> DataFrame:
+    """The events of a file with a list of them, with the given schema; a single object is a list of one, a file that is no JSON has
+    none."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{events}>>").alias("events"))
+    return rows.select(F.inline("events"))
