@@ -80,11 +80,11 @@ def test_ground_truth_is_mandatory(spark):
 
 
 def test_small_rules_of_runs(spark):
-    df = spark.createDataFrame([("a b/c:ü.-_", "went wrong {'tool_use_id': 't1', 'tool_use_id': 't2'}", "adr-wotriage-wopolicy"), ("", "no id", "adr"), (None, None, None), ("x" * 300, "'tool_use_id': ''", "a-woeas-wosourcecode-wopolicy-wotriage")], "task string, error string, name string")
+    df = spark.createDataFrame([("a b/c:ü.-_", "went wrong {'tool_use_id': 't1', 'tool_use_id': 't2'}", "det-wotriage-wopolicy"), ("", "no id", "det"), (None, None, None), ("x" * 300, "'tool_use_id': ''", "a-woeas-wosourcecode-wopolicy-wotriage")], "task string, error string, name string")
     got = df.select(runs.safe_path(F.col("task")).alias("p"), runs.failed_id(F.col("error")).alias("i"), runs.configuration(F.col("name")).alias("c")).collect()
     assert [r.p for r in got] == ["a_b_c_ü.-_", "unknown", "unknown", "x" * 128] and [r.i for r in got] == ["t1", None, None, None]
     assert [tuple(r.c) for r in got] == [(True, True, False, False), (True, True, True, True), (None,) * 4, (False,) * 4]
-    assert runs.run_name("adr", triage=False, threats=False) == "adr-woeas-wotriage" and runs.run_name("adr") == "adr"
+    assert runs.run_name("det", triage=False, threats=False) == "det-woeas-wotriage" and runs.run_name("det") == "det"
     texts = spark.range(1).select(runs.filled("{b} {a} {b}", {"a": F.lit("x"), "b": F.lit("y")}).alias("t"), runs.filled("{b}", {"b": F.lit(None).cast("string")}).alias("n"), runs.filled("plain", {"a": F.lit("x")}).alias("p")).first()
     assert tuple(texts) == ("{b} x {b}", "{b}", "plain")
 
