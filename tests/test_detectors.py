@@ -8,12 +8,15 @@ import time
 from datetime import datetime, timedelta
 from functools import partial
 
+import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import expressions, scalars
 from tracewright.operators import containment, farthest, intervals, progress, scoring, variants
+from tracewright.plans import catalog, detectors
 
 T0 = datetime(2024, 1, 1)
 
@@ -155,6 +158,27 @@ def test_farthest_of_few(spark):
     assert make([(1, 0.0, 0.0), (2, 0.0, 180.0), (3, 0.0, 90.0)])[0][:3] == (1, 2, pytest.approx(math.pi * 6371))
 
 
+def test_farthest_ranks_by_the_haversine(spark):
+    """Kilometres round both pairs to the same number, and turning by 180 degrees rounds both longitudes to one."""
+    near, far = 60.3, 60.30000000000001
+    assert km((0, 0), (0, near)) == km((0, 0), (0, far)) and (near + 180) - 180 == (far + 180) - 180
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, near), (3, 0.0, far), (4, 0.0, far)], "k long, lat double, lon double")
+    got = farthest.farthest(df, "k", "lat", "lon").first()
+    assert (got.a, got.b, got.n_points) == (1, 3, 3)
+
+
+def test_farthest_pair_with_a_haversine_over_one(spark, tmp_path):
+    """Of the opposite pairs (118, 69118) and (599, 50622) the second has the larger haversine, by rounding over 1; half the circumference all the same."""
+    customer = pa.table({"c_custkey": [118, 69118, 599, 50622, *range(1000, 1200)]})
+    pq.write_table(customer, tmp_path / "customer.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    want = con.sql(catalog.oracle_sql()["farthest_pair"]).fetchall()[0]
+    got = detectors.farthest_pair(spark, str(tmp_path)).first()
+    assert (got.a, got.b, got.n_points) == (want[0], want[1], want[3]) == (599, 50622, 204)
+    assert got.km == round(math.pi * 6371, 6)
+
+
 # Containment
 
 

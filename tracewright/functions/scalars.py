@@ -74,8 +74,17 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Col
     return (tokens_in * price_in + tokens_out * price_out) / 1000000
 
 
+def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """The square of half the chord on the unit sphere; of opposite points rounding may leave a little over 1."""
+    return F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return arc_km(haversine(lat1, lon1, lat2, lon2))
+
+
+def arc_km(a: Column) -> Column:
+    """Kilometres along the great circle of a haversine."""
     return 6371.0 * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 

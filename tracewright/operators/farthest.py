@@ -19,9 +19,13 @@ PAIRS_PER_POINT, LEAST_PAIRS = 8, 1_000_000
 SLACK = 1e-3
 
 
-def _km(*names: str) -> Column:
+def _km(haversine: Column) -> Column:
     """Of opposite points rounding may leave no number; they are half the circumference apart."""
-    return F.nanvl(scalars.haversine_km(*map(F.col, names)), F.lit(math.pi * RADIUS_KM))
+    return F.nanvl(scalars.arc_km(haversine), F.lit(math.pi * RADIUS_KM))
+
+
+def _between(*names: str) -> Column:
+    return scalars.haversine(*map(F.col, names))
 
 
 def _cell(degrees: float) -> list[Column]:
@@ -46,7 +50,7 @@ def _side(cells: DataFrame, side: str) -> DataFrame:
 
 def _bounded(pairs: DataFrame) -> DataFrame:
     """Adds most, which no two points of the cells exceed, and least, the distance of two of their points."""
-    middle, ones = _km("mid_lat_a", "mid_lon_a", "mid_lat_b", "mid_lon_b"), _km("one_a.lat", "one_a.lon", "one_b.lat", "one_b.lon")
+    middle, ones = _km(_between("mid_lat_a", "mid_lon_a", "mid_lat_b", "mid_lon_b")), _km(_between("one_a.lat", "one_a.lon", "one_b.lat", "one_b.lon"))
     return pairs.withColumns({"most": middle + F.col("reach_a") + F.col("reach_b"), "least": ones})
 
 
@@ -56,11 +60,15 @@ def farthest(rows: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
     Points lie in cells of latitude and longitude. Two cells bound the distance of their points from above by that of their middles and
     both reaches, and any two points in them bound the answer from below: pairs of cells that cannot reach the best of those are
     dropped, those left are cut into smaller cells, and exact distances are taken only of points whose cells stay together to the end.
-    n_compared counts those; the pairs of the first cells are at most 84 squared. Points in one place count once, with their least key;
-    of equally far pairs the one with the least keys is given. Rows with a null place or key, or a latitude beyond 90 degrees, are no
-    points; longitudes are taken modulo 360. One point makes a pair with itself at 0 km, none makes no row."""
+    n_compared counts those; the pairs of the first cells are at most 84 squared. Points in one place count once, with their least key.
+    Pairs rank by the haversine of their coordinates, of which kilometres round some to the same number; of equal haversines the pair
+    with the least keys is given. Rows with a null place or key, or a latitude beyond 90 degrees, are no points; longitudes are taken
+    modulo 360, those from -180 to under 180 as they are. One point makes a pair with itself at 0 km, none makes no row."""
     place = rows.where((F.abs(lat) <= 90) & F.col(lon).isNotNull() & F.col(key).isNotNull())
-    place = place.select(F.col(key).alias("key"), F.col(lat).cast("double").alias("lat"), (F.pmod(F.col(lon).cast("double") + 180, F.lit(360.0)) - 180).alias("lon"))
+    given = F.col(lon).cast("double")
+    east = given + 180
+    turned = F.when((east >= 0) & (east < 360), given).otherwise(F.pmod(east, F.lit(360.0)) - 180)
+    place = place.select(F.col(key).alias("key"), F.col(lat).cast("double").alias("lat"), turned.alias("lon"))
     points = kept(place.groupBy("lat", "lon").agg(F.min("key").alias("key")))
     n_points, degrees, best, pairs = points.count(), FIRST_DEGREES, 0.0, None
     n_compared = 0
@@ -90,6 +98,6 @@ def farthest(rows: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
     own = points.select("*", *_cell(degrees))
     side = lambda s: own.select(*[F.col(c).alias(f"{c}_{s}") for c in ("band", "column", "key", "lat", "lon")])
     both = pairs.join(side("a"), ["band_a", "column_a"]).join(side("b"), ["band_b", "column_b"])
-    km = _km("lat_a", "lon_a", "lat_b", "lon_b")
-    each = both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), F.when(F.col("key_a") == F.col("key_b"), 0.0).otherwise(km).alias("km"))
-    return each.orderBy(F.col("km").desc(), "a", "b").limit(1).select("a", "b", "km", F.lit(n_points).cast("long").alias("n_points"), F.lit(n_compared).cast("long").alias("n_compared"))
+    x = _between("lat_a", "lon_a", "lat_b", "lon_b")
+    each = both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), F.when(F.col("key_a") == F.col("key_b"), 0.0).otherwise(x).alias("x"))
+    return each.orderBy(F.col("x").desc(), "a", "b").limit(1).select("a", "b", _km(F.col("x")).alias("km"), F.lit(n_points).cast("long").alias("n_points"), F.lit(n_compared).cast("long").alias("n_compared"))
