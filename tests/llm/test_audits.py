@@ -213,6 +213,22 @@ def test_roots_of_long_ways(spark):
     assert got == {w: "z" if w == "y" else "w37" for w, _ in rows}
 
 
+def test_spelling_broadcasts_nothing(spark, monkeypatch):
+    """Spark takes the keys' size from the words' file, which is small enough to broadcast; the keys are many times as large."""
+    plans, stored = [], spelling.stored
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df):
+        plans.append(plan(df))
+        return stored(df)
+
+    monkeypatch.setattr(spelling, "stored", noted)
+    docs = spark.createDataFrame([(k, "chaines chained chained chainad " * 4) for k in range(9)], "doc_id long, text string")
+    plans.append(plan(spelling.variants(docs)))
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line]
+    assert len(joins) >= 4 and all("SortMergeJoin" in line for line in joins)
+
+
 def test_spelling_hands_out_bounded_parts(monkeypatch):
     import pyarrow as pa
 

@@ -83,6 +83,12 @@ def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if fits(df, most) else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Marks df for joins that shuffle and sort both sides. Without the mark Spark may broadcast a side whose size it takes from a
+    compressed file, or from what a task or an explode was given instead of what it makes."""
+    return df.hint("merge")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: what the session names in spark.checkpoint.dir. Only a local session, whose
     executors are in the driver, may go without; then it is a new temporary one."""

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import stored, whole
+from tracewright.llm.common import shuffled, stored, whole
 
 LEAST_CHARS, LEAST_COUNT = 5, 3
 #: A form occurs at least so many times as often as the word that it stands for.
@@ -109,12 +109,14 @@ def keyed(words: DataFrame, order: dict[str, int], rarest: int = RAREST) -> Data
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """a, na, b, nb: each pair of words that differ by one inserted, deleted or replaced code point, once."""
+    """a, na, b, nb: each pair of words that differ by one inserted, deleted or replaced code point, once.
+
+    A word has up to 24 rows of keys, but Spark sizes them as one, by the words' file."""
     rows = keyed(words, bigram_order(words))
     left = rows.where(~F.col("longer")).select("key", F.col("word").alias("a"), F.col("n").alias("na"))
     right = rows.select("key", "longer", F.col("word").alias("b"), F.col("n").alias("nb"))
     once = F.when(F.col("longer"), F.length("a") < F.length("b")).otherwise((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
-    found = left.join(right, "key").where(once & (F.levenshtein("a", "b", 1) == 1))
+    found = shuffled(left).join(right, "key").where(once & (F.levenshtein("a", "b", 1) == 1))
     return found.select("a", "na", "b", "nb").distinct()
 
 
@@ -124,7 +126,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = stored(forms.select("word", F.col("form").alias("root")))
     while True:
         onward = at.select(F.col("word").alias("root"), F.col("root").alias("__further"))
-        further = stored(at.join(onward, "root", "left"))
+        further = stored(shuffled(at).join(onward, "root", "left"))
         at = further.select("word", F.coalesce("__further", "root").alias("root"))
         if further.where("__further IS NOT NULL").isEmpty():
             return at
@@ -141,6 +143,6 @@ def variants(docs: DataFrame) -> DataFrame:
     way = lambda w, x, nx: F.struct(F.col(w).alias("word"), F.struct((-F.col(nx)).alias("minus"), F.col(x).alias("form")).alias("near"))
     best = pairs.select(F.inline(F.array(way("a", "b", "nb"), way("b", "a", "na")))).groupBy("word").agg(F.count("*").alias("n_near"), F.min("near").alias("near"))
     ok = -F.col("near.minus") >= RATIO * F.col("n")
-    rows = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(ok, F.col("near.form")).alias("form"), F.when(ok, -F.col("near.minus")).alias("form_n"))
+    rows = shuffled(words).join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(ok, F.col("near.form")).alias("form"), F.when(ok, -F.col("near.minus")).alias("form_n"))
     rows = stored(rows)
-    return rows.join(roots(rows.where("form IS NOT NULL")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return shuffled(rows).join(roots(rows.where("form IS NOT NULL")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
